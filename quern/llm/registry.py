@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, line_dedup, matroska
+from quern.llm import bpe, chat, line_dedup, matroska, packing, simhash
 from quern.llm.common import read
 
 
@@ -18,7 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_matroska": op4_matroska,
+        "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op7_packing": packing.op7_packing,
         "op8_chat_format": chat.op8_chat_format,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
