@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, line_dedup, matroska, packing, simhash
+from quern.llm import bpe, chat, licenses, line_dedup, matroska, packing, simhash, winnow
 from quern.llm.common import read
 
 
@@ -19,14 +19,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_matroska": op4_matroska,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_packing": packing.op7_packing,
         "op8_chat_format": chat.op8_chat_format,
         "op9_simhash": simhash.op9_simhash,
+        "op10_winnowing": winnow.op10_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.OP1_SQL,
+        "op6_license_scan": licenses.op6_sql(),
         "op8_chat_format": chat.OP8_SQL,
     }
