@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, licenses, line_dedup, matroska, packing, simhash, winnow
+from quern.llm import bpe, chat, langid, licenses, line_dedup, matroska, packing, quality, simhash, winnow
 from quern.llm.common import read
 
 
@@ -17,6 +17,8 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_quality_resample": quality.op2_quality_resample,
+        "op3_language_id": langid.op3_language_id,
         "op4_matroska": op4_matroska,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_license_scan": licenses.op6_license_scan,
