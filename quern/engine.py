@@ -161,6 +161,9 @@ class Engine:
         return f"{self.tag}_fn_{node.name.lower()}({', '.join(e.value(e.expr(a))[0] for a in node.args)})", kind
 
     def need(self, name: str) -> None:
+        if name not in self.needed and name in (made := scalar.vector_functions()):
+            self.spark.sql(made[name])
+            self.needed.add(name)
         if name not in self.needed:
             module, fn, returns, fixed = scalar.PYTHON[name]
             made = F.udf(located(module, fn), returns)

@@ -23,6 +23,7 @@ PYTHON: dict[str, tuple[str, str, str, bool]] = {
     "quern_char": ("quern.functions.glob", "characters", "string", True),
     "quern_randomblob": ("os", "urandom", "binary", False),
     "quern_json": ("quern.functions.json_values", "minify", "string", True),
+    "quern_json_or_null": ("quern.functions.json_values", "minify_or_none", "string", True),
     "quern_json_extract": ("quern.functions.json_values", "extract_many", "string", True),
     "quern_json_arrow": ("quern.functions.json_values", "arrow", "string", True),
     "quern_json_edit": ("quern.functions.json_values", "edit", "string", True),
@@ -307,8 +308,8 @@ def embedded(e: Emitter, x: Typed) -> str:
     s, k = e.value(x)
     if k not in ("text", "json"):
         return to_json_value(e, x)
-    e.host.need("quern_json")
-    return f"(CASE WHEN try_parse_json({s}) IS NOT NULL THEN quern_json({s}) ELSE {to_json_value(e, x)} END)"
+    e.host.need("quern_json_or_null")
+    return f"coalesce(quern_json_or_null({s}), {to_json_value(e, x)})"
 
 
 def unpacked(variant: str) -> str:
@@ -412,17 +413,22 @@ def dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
 
 
+def vector_functions() -> dict[str, str]:
+    """name -> statement of the SQL functions for distances; as functions, they also take scalar subqueries."""
+    norms = f"(sqrt({dot('a', 'a')}) * sqrt({dot('b', 'b')}))"
+    bodies = {
+        "quern_vec_l2": "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))",
+        "quern_vec_dot": f"(- {dot('a', 'b')})",
+        "quern_vec_cosine": f"(CASE WHEN {norms} = 0 THEN 1D ELSE 1D - {dot('a', 'b')} / {norms} END)",
+    }
+    return {n: f"CREATE OR REPLACE TEMPORARY FUNCTION {n}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {same_size('a', 'b', body)}" for n, body in bodies.items()}
+
+
 @function("VEC_DISTANCE_COSINE VEC_DISTANCE_L2 VEC_DISTANCE_DOT", 2)
 def distance(e: Emitter, a: list[Typed], n: Node) -> Typed:
-    x, y = vector(e, a[0]), vector(e, a[1])
-    if n.name.endswith("L2"):
-        sql = f"sqrt(aggregate(zip_with({x}, {y}, (x, y) -> (CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) * (CAST(x AS DOUBLE) - CAST(y AS DOUBLE))), 0D, (s, x) -> s + x))"
-    elif n.name.endswith("DOT"):
-        sql = f"(- {dot(x, y)})"
-    else:
-        norms = f"(sqrt({dot(x, x)}) * sqrt({dot(y, y)}))"
-        sql = f"(CASE WHEN {norms} = 0 THEN 1D ELSE 1D - {dot(x, y)} / {norms} END)"
-    return same_size(x, y, sql), "real"
+    name = "quern_vec_" + n.name[13:].lower()
+    e.host.need(name)
+    return f"{name}(CAST({vector(e, a[0])} AS ARRAY<DOUBLE>), CAST({vector(e, a[1])} AS ARRAY<DOUBLE>))", "real"
 
 
 @function("VEC_LENGTH")
