@@ -166,4 +166,5 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that a model of its own labelled texts does not reject."""
     model = LanguageModel(docs, id_col, text_col, lang_col)
-    return docs.withColumn("__p", model.predict(F.col(text_col))).filter(~F.col("__p.rejected")).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), model.predict(docs[text_col]).alias("p"))
+    return rows.filter(~F.col("p.rejected")).select("row.*")

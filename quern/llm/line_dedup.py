@@ -53,28 +53,28 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the kept lines in ``text_col``, and __n_lines and __n_dropped besides."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the kept lines in ``text_col``, and how many lines there were and are dropped in the columns
+    ``counts``, which replace columns of the same names."""
     lost = dropped_lines(docs, id_col, text_col, min_chars, min_docs)
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__text_hash": F.xxhash64(text_col)})
-    joined = rows.join(lost, ["__id", "__text_hash"], "left")
-    parts = joined.withColumn("__lines", lines_of(F.col(text_col)))
-    n = F.size("__lines")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(docs[text_col]).alias("__text_hash"))
+    text = F.col("row")[text_col]
+    parts = rows.join(lost, ["__id", "__text_hash"], "left").select("row", "__dropped", lines_of(text).alias("lines"))
+    n = F.size("lines")
     stays = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__dropped"))
-    kept = F.array_join(F.transform(stays, lambda p: F.get("__lines", p)), "\n")
-    return parts.withColumns({
-        "__n_lines": n.cast("long"),
-        "__n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept),
-    }).select(*docs.columns, "__n_lines", "__n_dropped")
+    kept = F.array_join(F.transform(stays, lambda p: F.get("lines", p)), "\n")
+    made = {text_col: F.when(F.col("__dropped").isNull(), text).otherwise(kept)}
+    if counts:
+        made |= {counts[0]: n.cast("long"), counts[1]: F.coalesce(F.size("__dropped"), F.lit(0)).cast("long")}
+    return parts.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns], *[x.alias(c) for c, x in made.items() if c not in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select(
         "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
+        "n_lines",
+        "n_dropped",
         F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
     )
 

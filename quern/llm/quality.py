@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint, read, remote
 
-BUCKETS, SAMPLE, MARGIN, BINS = 1 << 11, 20_000, 8.0, 1024
+BUCKETS, SAMPLE, MARGIN, BINS, PRIOR = 1 << 11, 20_000, 8.0, 1024, 3.0
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -112,7 +112,8 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> np.ndarray:
-    """Each feature's log ratio of the target's and the raw model, add-one smoothed; zeros without any target text."""
+    """Each feature's log ratio of the target's count and the count that the raw model expects among as many, both with
+    ``PRIOR`` more, so that rare features say little; zeros without any target text."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__good")).distinct()
     good = good.orderBy(F.xxhash64("__good"), "__good").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
@@ -123,8 +124,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, s
         raw[feature], target[feature] = r, t
     if not target.any():
         return np.zeros(3 * BUCKETS)
-    models = [np.concatenate([np.log((part + 1) / (part.sum() + BUCKETS)) for part in np.split(counts, 3)]) for counts in (target, raw)]
-    return models[0] - models[1]
+    ratios = []
+    for t, r in zip(np.split(target, 3), np.split(raw, 3)):
+        expected = r * (t.sum() / max(r.sum(), 1))
+        ratios.append(np.log((t + PRIOR) / (expected + PRIOR)))
+    return np.concatenate(ratios)
 
 
 def log_importance(text: Column, weights: np.ndarray) -> Column:
@@ -177,24 +181,25 @@ class Resampler:
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, sample: int = SAMPLE, margin: float = MARGIN) -> None:
         self.id_col, self.text_col = id_col, text_col
         self.weights = log_ratios(docs, labels, id_col, text_col, sample)
-        self.scored = checkpoint(self.with_scores(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), "__log_importance", "__key"))
-        self.k = self.scored.filter(F.col("__log_importance") > -margin).count() if k is None else k
-        self.least = kth_largest(self.scored.select(F.col("__key").alias("key")), self.k)
+        self.scored = checkpoint(self.with_scores(docs.select(id_col, text_col)).select(F.col("row")[id_col].alias("doc_id"), "importance", "key"))
+        self.k = self.scored.filter(F.col("importance") > -margin).count() if k is None else k
+        self.least = kth_largest(self.scored.select("key"), self.k)
 
     def with_scores(self, docs: DataFrame) -> DataFrame:
-        rows = docs.withColumn("__log_importance", log_importance(F.col(self.text_col), self.weights))
-        return rows.withColumn("__key", F.round((F.col("__log_importance") + gumbel(F.col(self.id_col))) * 1e6).cast("long"))
+        """(row, importance, key): a struct of each row, its log importance, and its score in millionths."""
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), log_importance(docs[self.text_col], self.weights).alias("importance"))
+        return rows.withColumn("key", F.round((F.col("importance") + gumbel(F.col("row")[self.id_col])) * 1e6).cast("long"))
 
     def keeps(self) -> Column:
-        return F.lit(True) if self.least is None else F.col("__key") >= self.least
+        return F.lit(True) if self.least is None else F.col("key") >= self.least
 
 
 def op2_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = Resampler(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return fitted.scored.select("doc_id", F.col("__log_importance").alias("log_importance"), (F.col("__key") / 1e6).alias("score"), fitted.keeps().alias("kept"))
+    return fitted.scored.select("doc_id", F.col("importance").alias("log_importance"), (F.col("key") / 1e6).alias("score"), fitted.keeps().alias("kept"))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are sampled."""
     fitted = Resampler(docs, labels, id_col, text_col)
-    return fitted.with_scores(docs).filter(fitted.keeps()).select(*docs.columns)
+    return fitted.with_scores(docs).filter(fitted.keeps()).select("row.*")

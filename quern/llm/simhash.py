@@ -123,8 +123,8 @@ def keep_one(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     root = prints.join(classes(prints), "fp").withColumn("__id", F.coalesce("id", F.lit(2**63 - 1)))
     chosen = root.groupBy(F.coalesce("component_id", F.col("fp")).alias("c"), F.col("component_id").isNull().alias("none"))
     kept = chosen.agg(F.min(F.struct("__id", "text_hash")).alias("k")).select(F.col("k.__id").alias("__id"), F.col("k.text_hash").alias("__text_hash"))
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "__text_hash": F.xxhash64(text_col)})
-    return rows.join(kept, ["__id", "__text_hash"], "left_semi").dropDuplicates(["__id", "__text_hash"]).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("__id"), F.xxhash64(docs[text_col]).alias("__text_hash"))
+    return rows.join(kept, ["__id", "__text_hash"], "left_semi").dropDuplicates(["__id", "__text_hash"]).select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
