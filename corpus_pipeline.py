@@ -32,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that others keep; n_chars follows the text."""
-    kept = line_dedup.line_dedup(docs).select(*docs.columns)
+    kept = line_dedup.line_dedup(docs, counts=None)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
