@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -116,6 +117,10 @@ def near(words: int, n: int) -> Column:
     return F.exists("p0", holds) if words > 1 else F.lit(True)
 
 
+def minus(k: int) -> Callable[[Column], Column]:
+    return lambda p: p - k
+
+
 def rows_of(index: DataFrame, part: tuple) -> DataFrame:
     """The distinct row ids that a part of a query matches, in any column."""
     kind = part[0]
@@ -128,7 +133,7 @@ def rows_of(index: DataFrame, part: tuple) -> DataFrame:
     joined = words_joined(index, part[1])
     if kind == "near":
         return joined.filter(near(len(part[1]), part[2])).select("rowid").distinct()
-    shifted = [F.transform(f"p{k}", lambda p, k=k: p - k) for k in range(len(part[1]))]
+    shifted = [F.transform(f"p{k}", minus(k)) for k in range(len(part[1]))]
     return joined.filter(F.size(reduce(F.array_intersect, shifted)) > 0).select("rowid").distinct()
 
 
