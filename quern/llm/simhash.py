@@ -35,21 +35,30 @@ from quern.llm.components import components
 RADIUS, SEED, BLOCK = 2, 42, 1 << 16
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """As a signed 64-bit integer."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """The XXH64 of every shingle, repeats included; of all words if they are fewer; none without a word."""
     own = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
-        return 0
-    joined, n = memoryview(b" ".join(own)), max(1, len(own) - words + 1)
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(own))
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     stops = ends[min(words, len(own)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(stops))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """As a signed 64-bit integer; zero without a shingle."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK].tolist(), stops[at : at + BLOCK].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes | None, words: int) -> int:
+    return simhash_of(shingle_hashes(text, words))
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -117,15 +126,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return prints.join(classes(prints), "fp").select(F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one row, that of the smallest id, of each component."""
-    prints = fingerprints(docs, words, id_col, text_col)
-    root = prints.join(classes(prints), "fp").withColumn("__id", F.coalesce("id", F.lit(2**63 - 1)))
-    chosen = root.groupBy(F.coalesce("component_id", F.col("fp")).alias("c"), F.col("component_id").isNull().alias("none"))
-    kept = chosen.agg(F.min(F.struct("__id", "text_hash")).alias("k")).select(F.col("k.__id").alias("__id"), F.col("k.text_hash").alias("__text_hash"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("__id"), F.xxhash64(docs[text_col]).alias("__text_hash"))
-    return rows.join(kept, ["__id", "__text_hash"], "left_semi").dropDuplicates(["__id", "__text_hash"]).select("row.*")
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
