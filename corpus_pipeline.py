@@ -13,12 +13,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, line_dedup, packing, quality, simhash
+from quern.llm import langid, line_dedup, near_dedup, packing, quality
 from quern.llm.common import shared_folder
 
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
@@ -37,8 +34,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs, SHINGLE)
+    """One document of each group whose five-word shingles have a similarity of 0.8 or more."""
+    return near_dedup.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
