@@ -1,0 +1 @@
+"""Streams: the dialect has none, so there is nothing to express here."""
