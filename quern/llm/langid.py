@@ -78,19 +78,17 @@ def cluster(frame: pd.DataFrame, idf: bytes) -> pd.DataFrame:
     frame = frame.sort_values(["place", "text"])
     texts, weights = [t.encode() for t in frame["text"]], np.frombuffer(idf, np.float32)
     x = np.concatenate([vectors_of(texts[i : i + PART], weights) for i in range(0, len(texts), PART)])
-    chosen = [0]
-    nearest = x @ x[0]
-    while len(chosen) < min(CENTROIDS, len(x)):  # the farthest from all so far
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, x @ x[chosen[-1]])
-    centers = x[chosen]
+    # from texts at even steps of typicality, so that no centroid begins, and stays, at an outlier
+    k = min(CENTROIDS, len(x))
+    typical = np.argsort(x @ x.mean(0), kind="stable")
+    centers = x[typical[((np.arange(k) + 0.5) * len(x) / k).astype(int)]]
     for _ in range(ROUNDS):
         own = (x @ centers.T).argmax(1)
         sums = np.stack([x[own == c].sum(0) if (own == c).any() else centers[c] for c in range(len(centers))])
         centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     cosines = x @ centers.T
     own = cosines.argmax(1)
-    least = [float(cosines[own == c, c].min()) if (own == c).any() else 1.0 for c in range(len(centers))]
+    least = [float(cosines[own == c, c].min()) if (own == c).any() else float(cosines.max(1).min()) for c in range(len(centers))]
     return pd.DataFrame({"lang": frame["lang"].iloc[0], "center": [c.astype(np.float32).tobytes() for c in centers], "least": least})
 
 
