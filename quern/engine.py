@@ -119,6 +119,12 @@ class Engine:
         for t in self.catalog.tables.values():
             self.rows(t).drop(ROWID).write.mode("overwrite").parquet(f"{folder}/{t.name}.parquet")
 
+    def import_tables(self, folder: str, *names: str) -> None:
+        """The tables of an export as tables that can be changed."""
+        for name in names:
+            self.register(f"__import_{name}", self.spark.read.parquet(f"{folder}/{name}.parquet"))
+            self.execute(f"CREATE TABLE {quote(name)} AS SELECT * FROM __import_{name}")
+
     # what the emitter asks
     def relation(self, name: str) -> tuple[str, list[tuple[str, str]], str | None, Table | None] | None:
         schema, _, last = name.rpartition(".")

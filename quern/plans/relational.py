@@ -55,6 +55,7 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "q_win_frames_rows": ("orders", "SELECT o_orderkey, SUM(o_custkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s, COUNT(*) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS 3 PRECEDING) AS n, MIN(o_orderkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM orders", "SELECT o_orderkey, CAST(SUM(o_custkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s, COUNT(*) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS 3 PRECEDING) AS n, MIN(o_orderkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM orders"),
     "q_win_default_peers": ("orders", "SELECT o_orderkey, SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS running, MAX(o_orderkey) OVER (PARTITION BY o_orderstatus) AS top FROM orders", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS BIGINT) AS running, MAX(o_orderkey) OVER (PARTITION BY o_orderstatus) AS top FROM orders"),
     "q_win_range_current": ("orders", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM orders", None),
+    "q_win_groups_sql": ("orders", "SELECT o_orderkey, SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS CURRENT ROW) AS peers FROM orders WHERE o_totalprice > 1000", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS BIGINT) AS before, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN CURRENT ROW AND CURRENT ROW) AS peers FROM orders WHERE o_totalprice > 1000"),
     "q_win_filter": ("events", "SELECT event_id, COUNT(*) FILTER (WHERE value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AS high FROM events", None),
     "q_win_named": ("orders", "SELECT o_orderkey, ROW_NUMBER() OVER w2 AS rn, COUNT(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey), w2 AS (w ORDER BY o_orderkey DESC)", None),
     "q_win_over_aggregate": ("orders", "SELECT o_custkey, COUNT(*) AS n, RANK() OVER (ORDER BY COUNT(*) DESC) AS place FROM orders GROUP BY o_custkey", None),

@@ -130,6 +130,15 @@ def test_reopen(spark, tmp_path):
         main.query("SELECT * FROM other.t")
 
 
+def test_export_and_import(spark, db, tmp_path):
+    db.execute_many("CREATE TABLE t(id INTEGER PRIMARY KEY, a TEXT); INSERT INTO t(a) VALUES ('x'), ('y')")
+    db.export(f"file://{tmp_path}")
+    other = Engine(spark)
+    other.import_tables(f"file://{tmp_path}", "t")
+    other.execute("UPDATE t SET a = a || '!' WHERE id = 2")
+    assert rows(other, "SELECT id, a FROM t ORDER BY id") == [(1, "x"), (2, "y!")]
+
+
 def test_layers_are_compacted(db):
     db.execute("CREATE TABLE t(a INTEGER)")
     for k in range(10):
