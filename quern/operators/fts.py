@@ -56,12 +56,13 @@ class Index:
 
 
 def build(rows: DataFrame, id_col: str, columns: list[str]) -> Index:
-    """The index of text columns. Terms are grouped within each row, so a common term is no large group."""
+    """The index of text columns. A posting's group is one term of one row, so a common term is no large group; a filter
+    on terms is pushed below the grouping, so a query groups only the postings of its own words."""
     each = [rows.select(F.col(id_col).alias("rowid"), F.lit(c).alias("col"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for c in columns]
     split = reduce(DataFrame.unionAll, each)
-    terms = split.select("col", "rowid", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    at = F.filter(F.transform("tokens", lambda t, i: F.when(t == F.col("term"), i)), lambda i: i.isNotNull())
-    return Index(terms.select("col", "term", "rowid", at.alias("positions")), split.select("col", "rowid", F.size("tokens").cast("long").alias("dl")), columns)
+    terms = split.select("col", "rowid", F.posexplode("tokens").alias("pos", "term"))
+    postings = terms.groupBy("col", "term", "rowid").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return Index(postings, split.select("col", "rowid", F.size("tokens").cast("long").alias("dl")), columns)
 
 
 # query language: juxtaposition is AND, OR, "phrase", prefix*, NEAR(a b, n)
