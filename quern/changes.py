@@ -80,8 +80,8 @@ def fail(kind: str, t: Table, columns: Any) -> None:
     raise SqlError(f"{kind} constraint failed: {names}")
 
 
-def validate(eng: Engine, t: Table, rows: DataFrame, params: Any = None) -> None:
-    """NOT NULL and CHECK of new rows: one aggregate over them."""
+def validate(eng: Engine, t: Table, rows: DataFrame, params: Any = None) -> tuple[int, int | None]:
+    """NOT NULL and CHECK of new rows, in one aggregate with their number and their largest row id."""
     e = eng.emitter_on("__row", [(c.name, spark_type(c.type)) for c in t.columns], params)
     tests: list[tuple[str, Any, str]] = [("NOT NULL", (c.name,), f"{quote(c.name)} IS NULL") for c in t.columns if (c.notnull or c.pk) and c.name != t.id_column]
     tests += [("CHECK", text, f"NOT coalesce({e.cond(check)}, true)") for check, text in t.checks]
@@ -90,18 +90,21 @@ def validate(eng: Engine, t: Table, rows: DataFrame, params: Any = None) -> None
         tests += [("CHECK", f"{low} <= {high}", f"{quote(low)} IS NULL OR {quote(high)} IS NULL OR {quote(low)} > {quote(high)}") for low, high in zip(pairs[::2], pairs[1::2])]
     if t.module == "vec_index":
         tests.append(("CHECK", f"dimension is {dict(t.options)['dim']}", f"vector IS NULL OR size(vector) <> {dict(t.options)['dim']}"))
-    if tests:
-        found = rows.alias("__row").agg(*[F.coalesce(F.sum(F.expr(f"CAST({sql} AS INT)")), F.lit(0)).alias(f"t{k}") for k, (_, _, sql) in enumerate(tests)]).first()
-        for (kind, what, _), n in zip(tests, found):
-            if n:
-                fail(kind, t, what)
+    n, top, *found = rows.alias("__row").agg(F.count("*").alias("n"), F.max(ROWID).alias("top"), *[F.coalesce(F.sum(F.expr(f"CAST({sql} AS INT)")), F.lit(0)).alias(f"t{k}") for k, (_, _, sql) in enumerate(tests)]).first()
+    for (kind, what, _), bad in zip(tests, found):
+        if bad:
+            fail(kind, t, what)
+    return n, top
 
 
-def check_unique(eng: Engine, t: Table, new: DataFrame, others: DataFrame) -> None:
-    """No key twice among the new rows, nor among them and the others."""
+def check_unique(eng: Engine, t: Table, new: DataFrame, others: DataFrame, sets: set[str] | None = None) -> None:
+    """No key twice among the new rows, nor among them and the others. Keys outside ``sets`` did not change."""
     for key in t.keys:
-        own = new.filter(~any_null(key))
-        if own.groupBy(*[quote(c) for c in key]).count().filter("count > 1").limit(1).count() or semi(own, others, key).limit(1).count():
+        if sets is not None and not sets & set(key):
+            continue
+        own, names = new.filter(~any_null(key)), [quote(c) for c in key]
+        twice = own.groupBy(*names).count().filter("count > 1").select(*names)
+        if not twice.unionAll(semi(own, others, key).select(*names)).isEmpty():
             fail("UNIQUE", t, key)
 
 
@@ -111,7 +114,7 @@ def check_parents(eng: Engine, t: Table, new: DataFrame) -> None:
     for fk in t.foreign:
         parent = eng.table(fk.table)
         own = new.filter(~any_null(fk.columns))
-        if semi(own, eng.rows(parent), fk.columns, fk.parent or parent.primary, "left_anti").limit(1).count():
+        if not semi(own, eng.rows(parent), fk.columns, fk.parent or parent.primary, "left_anti").isEmpty():
             raise SqlError("FOREIGN KEY constraint failed")
 
 
@@ -160,10 +163,9 @@ def insert(eng: Engine, node: Node, params: Any) -> ExecResult:
 
 def add_rows(eng: Engine, t: Table, new: DataFrame, removed: DataFrame | None = None, params: Any = None) -> int:
     """Checks new rows, fires triggers and adds them; rows of ``removed`` make room first."""
-    n, top = new.agg(F.count("*"), F.max(ROWID)).first()
+    n, top = validate(eng, t, new, params)
     if not n:
         return 0
-    validate(eng, t, new, params)
     rest = eng.rows(t) if removed is None else semi(eng.rows(t), removed, (ROWID,), how="left_anti")
     check_unique(eng, t, new, rest)
     check_parents(eng, t, new) if not any(fk.table.lower() == t.name.lower() for fk in t.foreign) else None
@@ -323,12 +325,11 @@ def change_rows(eng: Engine, t: Table, changed: DataFrame, params: Any = None, s
     id_now = F.col(quote(t.id_column)) if t.id_column else F.col(OLD)
     changed = changed.withColumn(ROWID, id_now)
     changed = stage(eng, eng.computed(t, changed, [c for c in t.columns if c.generated is not None]).select(OLD, ROWID, *[quote(c.name) for c in t.columns]))
-    n = changed.count()
+    n, _ = validate(eng, t, changed, params)
     if not n:
         return 0, changed
     before = stage(eng, semi(eng.rows(t), changed, (ROWID,), (OLD,)))
-    validate(eng, t, changed, params)
-    check_unique(eng, t, changed, semi(eng.rows(t), changed, (ROWID,), (OLD,), "left_anti"))
+    check_unique(eng, t, changed, semi(eng.rows(t), changed, (ROWID,), (OLD,), "left_anti"), sets)
     fire(eng, t, "BEFORE", "UPDATE", changed, before, sets)
     put(eng, t, changed, before)
     check_parents(eng, t, changed)
@@ -372,7 +373,7 @@ def follow_parents(eng: Engine, t: Table, before: DataFrame, after: DataFrame |
         gone = semi(before, eng.rows(eng.table(t.name)), parent, how="left_anti").filter(~any_null(parent))
         child = eng.table(child.name)
         hit = stage(eng, semi(eng.rows(child), gone, fk.columns, parent))
-        if not hit.limit(1).count():
+        if hit.isEmpty():
             continue
         action = fk.delete if after is None else fk.update
         if action in ("NO ACTION", "RESTRICT"):
