@@ -1,13 +1,19 @@
 """Near-duplicate removal at a Jaccard similarity of 0.8 of five-word shingles: one document of each group stays.
 
-Two ways name candidate pairs: the covering SimHash tables of ``simhash`` (two bits), and
-MinHash bands, as pairs of similarity 0.8 mostly differ in 5 to 15 of 64 SimHash bits, which
-no set of tables can cover. 20 bands of 5 rows miss such a pair with (1 - 0.8^5)^20 = 0.04 %.
-Every candidate pair is verified by exact set similarity, then linked texts are grouped.
-
-No group is compared pair by pair: each member of a band's bucket is compared with the
-bucket's smallest, so candidates grow with the documents, however many share a bucket. A
-member that is close to others there but not to the smallest meets them in other bands.
+A first pass links most of them at little cost. Two ways name its candidate pairs: the covering
+SimHash tables of ``simhash`` (two bits), and MinHash bands, as pairs of similarity 0.8 mostly
+differ in 5 to 15 of 64 SimHash bits. Each member of a band's bucket is compared with the
+bucket's smallest only, so candidates grow with the documents, however many share a bucket.
+
+A second pass finds every pair that the first left unlinked, by prefix filtering (Xiao et al.,
+"Efficient Similarity Joins for Near Duplicate Detection"). All shingles have one order, rare
+ones first; sets of similarity t share one among the first n - ceil(2t/(1+t) n) + 1 of the
+smaller and the first n - ceil(tn) + 1 of the larger. Only texts of different components of
+the first pass meet at a shingle, so copies in plenty cost nothing, and what a family has in
+common comes last in the order, so its members do not meet by that. The order comes from counts
+of a sample; any order gives the same groups. Every candidate pair of either pass is verified
+by exact set similarity, then linked texts are grouped.
+
 Exact copies are one class before anything else. Ids are broadcast only up to ``MOST_IDS``
 of them, counted first; beyond that the same joins shuffle.
 
@@ -19,6 +25,7 @@ empty one; other columns stay as they are, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,6 +40,7 @@ from quern.llm.components import components
 from quern.llm.simhash import SEED, links, shingle_hashes, simhash_of
 
 WORDS, SIMILARITY, BANDS, ROWS, MOST_IDS, BLOCK = 5, 0.8, 20, 5, 4_000_000, 4096
+SAMPLE, COMMON, EPSILON = 20_000, 500_000, 1e-6  #: texts whose shingles are counted, shingles that come last, slack of float bounds
 
 
 @cache
@@ -50,14 +58,50 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, len(a), ROWS)]
 
 
-def sketch_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def shingle_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            texts = batch.column(0).slice(start, 512).cast(pa.binary()).to_pylist()
+            tokens = np.concatenate([np.unique(shingle_hashes(t, words)) for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
+
+
+def common_shingles(picked: DataFrame, words: int) -> tuple[bytes, bytes]:
+    """The shingles that several texts of a sample have, sorted, and how many have them."""
+    share = SAMPLE / max(picked.count(), 1)
+    some = picked if share >= 1 else picked.filter(F.pmod("a", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counted = some.select("text").mapInArrow(remote(__name__, "shingle_batches", words), "token long").groupBy("token").agg(F.count("*").cast("int").alias("n")).filter("n > 2")
+    found = counted.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    tokens, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order].tobytes(), n[order].tobytes()
+
+
+def prefix_lengths(n: int, similarity: float) -> tuple[int, int]:
+    """How many of ``n`` shingles must be looked at: against sets of their size or more, and of their size or less."""
+    own = n - math.ceil(2 * similarity / (1 + similarity) * n - EPSILON) + 1
+    return min(n, own), min(n, n - math.ceil(similarity * n - EPSILON) + 1)
+
+
+def sketch_batches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, tokens: bytes, counts: bytes) -> Iterator[pa.RecordBatch]:
+    common, often = np.append(np.frombuffer(tokens, np.uint64), np.uint64(0)), np.append(np.frombuffer(counts, np.int32), np.int32(0))
     for batch in batches:
-        prints, bands = [], []
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            hashes = shingle_hashes(text, words)
-            prints.append(simhash_of(hashes))
-            bands.append(band_keys(np.unique(hashes)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["node", "a", "b", "fp", "bands"])
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            prints, bands, sizes, owns, prefixes = [], [], [], [], []
+            for text in part.column(0).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text, words)
+                prints.append(simhash_of(hashes))
+                distinct = np.unique(hashes)
+                bands.append(band_keys(distinct))
+                at = np.searchsorted(common[:-1], distinct)
+                seen = np.where(common[at] == distinct, often[at], 0)
+                own, most = prefix_lengths(len(distinct), similarity)
+                sizes.append(len(distinct))
+                owns.append(own)
+                prefixes.append(distinct[np.argsort(seen, kind="stable")[:most]].view(np.int64))
+            made = [pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(owns, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], ["node", "a", "b", "fp", "bands", "size", "own", "prefix"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -89,22 +133,49 @@ def candidates(reps: DataFrame) -> DataFrame:
     return by_band.unionAll(same).unionAll(near).filter("v < u").distinct()
 
 
+def verified(pairs: DataFrame, picked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` whose shingle sets are similar."""
+    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+    chosen = picked.select("text", "node").join(small(wanted), "node", "left_semi").select("text", "node")
+    sets = checkpoint(chosen.mapInArrow(remote(__name__, "set_batches", words), "node long, shingles array<long>").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    union = F.size(F.array_union("x", "y"))
+    return both.filter((union == 0) | (F.size(F.array_intersect("x", "y")) >= similarity * union)).select("u", "v")
+
+
+def unlinked(sketches: DataFrame, copies: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs of texts of different components of ``linked`` that the prefix filter cannot rule out."""
+    reps = sketches.select("node", "size", "own", "prefix").join(small(copies.select(F.col("u").alias("node"))), "node", "left_anti")
+    rooted = reps.join(small(linked), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "own", "prefix")
+    several = rooted.select("root", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    hot = checkpoint(several.filter("low < high").select("token"))
+    entries = rooted.select("node", "root", "size", "own", F.posexplode("prefix").alias("at", "token"))
+    entries = checkpoint(entries.join(small(hot), "token").select("token", "node", "root", "size", "own", "at"))
+    first, second = (entries.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "size", "own", "at")]) for k in "uv")
+    second = second.filter("at_v < own_v")
+    # components meet, then their texts: those of one component are not paired at all
+    met = first.select("token", "root_u").distinct().join(second.select("token", "root_v").distinct(), "token").filter("root_u <> root_v")
+    pairs = met.join(first, ["token", "root_u"]).join(second, ["token", "root_v"])
+    left = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v"))
+    sizes = F.col("size_u") + F.col("size_v")
+    pairs = pairs.filter("size_v < size_u OR size_v = size_u AND node_v < node_u").filter(F.col("size_v") >= similarity * F.col("size_u") - EPSILON).filter(left >= similarity / (1 + similarity) * sizes - EPSILON)
+    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
 def duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(node, root) of the documents that go, and the (node) that more than one row has."""
     text = docs[text_col]
     picked = docs.select(text.alias("text"), node_of(docs[id_col], text).alias("node"), hash_pair(F.coalesce(text, F.lit(""))).alias("h")).select("text", "node", "h.a", "h.b")
-    sketches = checkpoint(picked.mapInArrow(remote(__name__, "sketch_batches", words), "node long, a long, b long, fp long, bands array<long>"))
+    sketch = remote(__name__, "sketch_batches", words, similarity, *common_shingles(picked, words))
+    sketches = checkpoint(picked.mapInArrow(sketch, "node long, a long, b long, fp long, bands array<long>, size int, own int, prefix array<long>"))
     firsts = sketches.groupBy("a", "b").agg(F.min("node").alias("first"))
-    copies = sketches.join(firsts, ["a", "b"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    copies = checkpoint(sketches.select("node", "a", "b").join(firsts, ["a", "b"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
     reps = sketches.groupBy("a", "b").agg(F.min(F.struct("node", "fp", "bands")).alias("r")).select("r.*")
-    pairs = checkpoint(candidates(reps))
-    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    chosen = picked.select("text", "node").join(small(wanted), "node", "left_semi").select("text", "node")
-    sets = checkpoint(chosen.mapInArrow(remote(__name__, "set_batches", words), "node long, shingles array<long>").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    union = F.size(F.array_union("x", "y"))
-    edges = both.filter((union == 0) | (F.size(F.array_intersect("x", "y")) >= similarity * union)).select("u", "v")
-    return components(edges.unionAll(copies)), sketches.groupBy("node").count().filter("count > 1").select("node")
+    linked = components(verified(checkpoint(candidates(reps)), picked, words, similarity).unionAll(copies))
+    pairs = checkpoint(unlinked(sketches, copies, linked, similarity))
+    if not pairs.isEmpty():
+        linked = components(verified(pairs, picked, words, similarity).unionAll(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return linked, sketches.groupBy("node").count().filter("count > 1").select("node")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

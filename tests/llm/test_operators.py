@@ -413,6 +413,23 @@ def test_keep_one_is_brute_force(spark):
     assert got == sorted(set(union_find([i for i, _ in rows], lambda a, b: similar(texts[a], texts[b])).values()))
 
 
+def test_keep_one_finds_pairs_within_a_family(spark):
+    # 400 texts that are about 0.76 alike, planted in pairs that are about 0.84 alike
+    rng = random.Random(5)
+    base, texts = [f"b{i}" for i in range(360)], []
+    for k in range(200):
+        pair = base + [f"p{k}_{i}" for i in range(20)]
+        texts += [" ".join(pair + [f"o{k}_{side}_{i}" for i in range(32)]) for side in (0, 1)]
+    rng.shuffle(texts)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    rows = list(enumerate(texts))
+    want = sorted(set(union_find(list(range(len(texts))), alike).values()))
+    assert len(want) == 200
+    got = sorted(r.doc_id for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+
+
 def test_keep_one_of_odd_rows(docs, empty):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
