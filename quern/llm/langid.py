@@ -4,7 +4,9 @@ A text's vector has the TF-IDF weights of its hashed byte bigrams and trigrams (
 A-Z lower-cased, everything else a space), normalised to length 1. Each language has several
 centroids, found by spherical k-means; a text takes the language of the centroid with the
 largest cosine. It is rejected where its distance from that centroid (1 - cosine) exceeds the
-centroid's radius, which lets through ``REACH`` times the smallest cosine among the centroid's own.
+centroid's radius, which lets through ``REACH`` times the ``QUANTILE`` quantile of the cosines of
+the centroid's own texts, so that neither an outlier nor a larger sample widens it. Texts whose
+cosine with their language's mean is under ``OUTLIER`` times the median take no part in the fit.
 
 Document frequencies count all labelled training texts. Centroids are fitted on at most
 ``SAMPLE`` training texts a language, those with the smallest hashes of their ids; each
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import read, remote
 
-FEATURES, SAMPLE, CENTROIDS, ROUNDS, PART, REACH = 4096, 1500, 4, 10, 128, 0.3
+FEATURES, SAMPLE, CENTROIDS, ROUNDS, PART, REACH, QUANTILE, OUTLIER = 4096, 1500, 4, 10, 128, 0.5, 0.05, 0.25
 UNKNOWN = "und"
 
 
@@ -73,11 +75,22 @@ def frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES + 1), pa.int32()), pa.array(seen)], ["feature", "n"])
 
 
+def typical_of(x: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """The rows of ``x`` without those far from their mean, which is taken again without them."""
+    kept = x
+    for _ in range(rounds):
+        mean = kept.sum(0)
+        cosines = x @ (mean / max(np.linalg.norm(mean), 1e-12))
+        kept = x[cosines >= OUTLIER * np.median(cosines)]
+    return kept
+
+
 def cluster(frame: pd.DataFrame, idf: bytes) -> pd.DataFrame:
-    """One language's centroids and the smallest cosine of each one's own texts."""
+    """One language's centroids and a low quantile of the cosines of each one's own texts."""
     frame = frame.sort_values(["place", "text"])
     texts, weights = [t.encode() for t in frame["text"]], np.frombuffer(idf, np.float32)
     x = np.concatenate([vectors_of(texts[i : i + PART], weights) for i in range(0, len(texts), PART)])
+    x = typical_of(x)
     # from texts at even steps of typicality, so that no centroid begins, and stays, at an outlier
     k = min(CENTROIDS, len(x))
     typical = np.argsort(x @ x.mean(0), kind="stable")
@@ -88,7 +101,7 @@ def cluster(frame: pd.DataFrame, idf: bytes) -> pd.DataFrame:
         centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     cosines = x @ centers.T
     own = cosines.argmax(1)
-    least = [float(cosines[own == c, c].min()) if (own == c).any() else float(cosines.max(1).min()) for c in range(len(centers))]
+    least = [float(np.quantile(cosines[own == c, c] if (own == c).any() else cosines.max(1), QUANTILE)) for c in range(len(centers))]
     return pd.DataFrame({"lang": frame["lang"].iloc[0], "center": [c.astype(np.float32).tobytes() for c in centers], "least": least})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
@@ -141,6 +142,27 @@ def test_language_id(spark, docs, empty):
     assert model.predict(F.lit("x")) is not None
 
 
+FOREIGN = [
+    "kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki ja omatunto",
+    "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+    "minden emberi leny szabadon szuletik es egyenlo meltosaga es joga van az emberek esszel es lelkiismerettel birvan",
+    "alle mensen worden vrij en gelijk in waardigheid en rechten geboren zij zijn begiftigd met verstand en geweten",
+    random.Random(1).randbytes(300).hex(),
+    base64.b64encode(random.Random(2).randbytes(300)).decode(),
+    "zzzz qqqq " * 30,
+]
+
+
+def test_foreign_and_garbage_texts_are_rejected_labelled_or_not(spark):
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    planted = [(10**9 + 100 * k + j, t, lang) for k, t in enumerate(FOREIGN) for j, lang in enumerate(("en", "de", "fr", "es", None))]
+    kept = {r.doc_id for r in langid.keep_known(own.unionAll(spark.createDataFrame(planted, "doc_id long, text string, lang string"))).select("doc_id").collect()}
+    assert [(t[:9], lang) for i, t, lang in planted if i in kept] == []
+    clean = {r.doc_id for r in own.filter(r"text RLIKE '\\p{L}'").select("doc_id").collect()}
+    assert len(clean - kept) <= len(clean) // 200
+
+
 def test_held_out_is_crc32(docs):
     got = {(r.doc_id, r.h) for r in docs.filter("doc_id IS NOT NULL").select("doc_id", langid.held_out("doc_id").alias("h")).collect()}
     assert got == {(i, zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in ROWS if i is not None}
