@@ -102,3 +102,15 @@ def test_tokens(spark):
     assert fts.query_tokens("Ünï CAFÉ") == ["uni", "cafe"]
     with pytest.raises(SqlError):
         fts.parse(" ")
+
+
+def test_nearest_batch_has_no_cap_of_queries(spark, monkeypatch):
+    from quern.operators import knn
+
+    v = spark.range(60).selectExpr("id", "array(cast(id * 7 % 31 as double), cast(id * id % 17 as double)) AS v")
+    q = v.selectExpr("id AS q", "v AS w").filter("q % 2 = 0")
+    run = lambda: sorted(map(tuple, knn.nearest_batch(v, q, 3, "id", "v", "q", "w", "l2").collect()))
+    whole = run()
+    assert len(whole) == 90
+    monkeypatch.setattr(knn, "QUERY_LIMIT", 8)
+    assert run() == whole
