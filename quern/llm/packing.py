@@ -20,6 +20,7 @@ one; only the named columns are read, so that others may have any name.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -47,30 +48,44 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
     """A byte-level tokenizer file's tokens as bytes. Its signs stand for bytes: printable Latin-1 ones for themselves,
-    those from 256 on for the other bytes in order. Special tokens are left out."""
+    those from 256 on for the other bytes in order. Added tokens are left out."""
     document = json.loads(Path(path).read_bytes())
-    special = {t["content"] for t in document.get("added_tokens", [])}
+    special = read_added(path)
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
     return {bytes(byte_of[c] for c in token): i for token, i in document["model"]["vocab"].items() if token not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """The tokens that are found in a text before its words are, special ones included, as the library does it by default."""
+    added = json.loads(Path(path).read_bytes()).get("added_tokens", [])
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Ids:
     """The ids of a byte-level BPE tokenizer's JSON file as little-endian 32-bit bytes.
 
-    A text is cut where the tokenizer's own pattern always cuts, and each new part is encoded once, by the file's
-    vocabulary in tiktoken's merging loop, which gives the ids of the tokenizers library in a quarter of its time.
+    A text is cut at added tokens, then where the tokenizer's own pattern always cuts, and each new part is encoded
+    once, by the file's vocabulary in tiktoken's merging loop, which gives the ids of the tokenizers library in a
+    quarter of its time.
     """
 
     def __init__(self, path: str) -> None:
         self.encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=read_vocabulary(path), special_tokens={}).encode_ordinary
         self.parts = PartCache(self.make, 400_000)
+        self.added = {token: array("I", [i]).tobytes() for token, i in read_added(path).items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})" if self.added else r"(?!)")
 
     def make(self, part: str) -> bytes:
         return array("I", self.encode(part)).tobytes()
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, parts(text))) if text else b""
+        """Between two matches of ``cut`` lies text of its own."""
+        spans = self.cut.split(text)
+        return b"".join(self.added[span] if k % 2 else b"".join(map(self.parts.__getitem__, parts(span))) for k, span in enumerate(spans) if span)
 
 
 @cache
