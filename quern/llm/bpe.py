@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding by prefix dynamic programming.
 
 For each prefix of a piece's bytes the encoding's last token is unique: it is the one token
-that ends the prefix and may follow the last token of what stands before it. Two tokens may
-follow each other if merging their joined bytes gives just these two. The table of last
-tokens is all the state there is, which makes appends exact and lets an edit reuse every
+that ends the prefix and may follow the last token of what stands before it. An Aho-Corasick
+automaton names the tokens that end at each byte. Two tokens may follow each other if no merge
+across their border comes before the merges that made them; their merge trees (which two tokens
+each was made of) tell that by a walk down the border, without merging anything. The table of
+last tokens is all the state there is, which makes appends exact and lets an edit reuse every
 entry before it and, once enough entries agree again, every entry behind it.
 
 Defined cases: null and empty texts have no tokens; texts of any length take memory in
@@ -17,15 +19,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 from pathlib import Path
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import read, remote
-from quern.llm.pretokens import PartCache, parts
+from quern.llm.pretokens import CUTS, PartCache, parts
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,63 +42,117 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], pairs: int = 500_000) -> None:
         self.ranks, self.pairs = ranks, pairs
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
+        self.sizes = [len(self.tokens.get(rank, b"")) for rank in range(max(self.tokens, default=-1) + 1)]
+        self.longest = max(self.sizes, default=0)
         self.follows: dict[int, bool] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging by rank, leftmost first: the definition, for what is at most two tokens long."""
-        cuts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(cuts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.ranks) + 1 << 8), i) for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
-            if rank > len(self.ranks) << 8:
-                break
+        self.trees: dict[int, tuple[int, int] | None] = {}  # these two have at most an entry or two per token
+        self.spines: dict[int, list[tuple[bytes, float]]] = {}
+        self.ending = ahocorasick.Automaton(ahocorasick.STORE_INTS)  # token bytes as Latin-1 -> rank
+        for token, rank in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), rank)
+        self.ending.make_automaton()
+
+    def merge(self, piece: bytes) -> list[list[int]]:
+        """Plain merging by rank, leftmost first: the definition. The parts after each merge, the last being the encoding."""
+        cuts, states = [piece[i : i + 1] for i in range(len(piece))], []
+        while True:
+            states.append([self.ranks[c] for c in cuts])
+            found = min(((self.ranks[a + b], i) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a + b in self.ranks), default=None)
+            if found is None:
+                return states
+            at = found[1]
             cuts[at : at + 2] = [cuts[at] + cuts[at + 1]]
-        return [self.ranks[c] for c in cuts]
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that make ``token``; (-1, -1) for a single byte, None where its own bytes do not merge to it.
+        Bytes may have any ranks."""
+        if token not in self.trees:
+            states = self.merge(self.tokens[token])
+            self.trees[token] = None if states[-1] != [token] else tuple(states[-2]) if len(states) > 1 else (-1, -1)
+            if any(h > token and self.sizes[h] > 1 for h in self.trees[token] or ()):
+                raise ValueError("ranks must ascend from a token's halves to the token, as training gives them")
+        return self.trees[token]
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """The nodes on one side of a token's merge tree, from the byte up, each with the rank of the merge that ends it."""
+        if (known := self.spines.get(token << 1 | side)) is None:
+            known, node, ends = [], token, float("inf")
+            while node >= 0:
+                known.append((self.tokens[node], ends))
+                ends, node = node, self.halves(node)[side]
+            known.reverse()
+            self.spines[token << 1 | side] = known
+        return known
 
     def may_follow(self, before: int, token: int) -> bool:
-        """``before`` -1: whether ``token`` may begin a piece, that is, whether its bytes merge to itself."""
-        key = before + 1 << 32 | token
-        if (known := self.follows.get(key)) is None:
-            own = self.tokens[token]
-            known = self.merge(own) == [token] if before < 0 else self.merge(self.tokens[before] + own) == [before, token]
-            if len(self.follows) >= self.pairs:
-                self.follows.clear()
-            self.follows[key] = known
+        """``before`` -1: whether ``token`` may begin a piece, that is, whether its bytes merge to itself.
+
+        The two nodes at the border change as ranks ascend; at each moment their own merge across it must not come
+        before the next merge on either side. Of equal ranks the left one comes first."""
+        if self.halves(token) is None:
+            return False
+        if before < 0:
+            return True
+        left, right, i, j = self.spine(before, 1), self.spine(token, 0), 0, 0
+        while True:
+            (a, a_ends), (b, b_ends) = left[i], right[j]
+            across = self.ranks.get(a + b)
+            if across is not None and across < a_ends and across <= b_ends:
+                return False
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+            if i == len(left) or j == len(right):
+                return True
+
+    def judge(self, before: int, token: int) -> bool:
+        """``may_follow``, remembered."""
+        if len(self.follows) >= self.pairs:
+            self.follows.clear()
+        known = self.follows[before << 32 | token] = self.may_follow(before, token)
         return known
 
     def extend(self, piece: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """``last`` continued to one entry per prefix of ``piece`` (up to ``upto`` bytes): an exact append."""
-        get, ok = self.ranks.get, self.may_follow
-        for end in range(len(last) + 1, (len(piece) if upto is None else upto) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = get(piece[start:end])
-                if token is not None and ok(last[start - 1] if start else -1, token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
+        known, judge, sizes = self.follows.get, self.judge, self.sizes
+        have, stop = len(last), len(piece) if upto is None else upto
+        if have >= stop:
+            return last
+        for end, token in self.ending.iter(piece.decode("latin-1"), max(0, have + 1 - self.longest), stop):
+            if end < have:
+                continue
+            start = end + 1 - sizes[token]
+            before = last[start - 1] if start else -1
+            ok = known(before << 32 | token)
+            if ok is None:
+                ok = judge(before, token)
+            if ok:
+                last.append(token)
+                have += 1
+        if have != stop:
+            raise ValueError(f"no token ends at byte {have + 1}")
         return last
 
     def edit(self, piece: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
         """``piece`` with the bytes from ``start`` to ``end`` replaced, and its table. Entries before the edit stay; behind
         it, once as many entries in a row agree as a token is long, the old ones hold."""
         changed = piece[:start] + new + piece[end:]
-        table, shift, same = last[:start], len(new) - (end - start), 0
-        while len(table) < len(changed):
-            self.extend(changed, table, len(table) + 1)
-            at = len(table)
-            if at <= start + len(new):
-                continue
-            same = same + 1 if table[-1] == last[at - shift - 1] else 0
-            if same >= self.longest:
-                return changed, table + last[at - shift :]
+        table, shift, at, same = last[:start], len(new) - (end - start), start, 0
+        while at < len(changed):
+            self.extend(changed, table, min(len(changed), max(at, start + len(new)) + self.longest))
+            for at in range(at + 1, len(table) + 1):
+                if at > start + len(new):
+                    same = same + 1 if table[at - 1] == last[at - shift - 1] else 0
+                    if same >= self.longest:
+                        return changed, table[:at] + last[at - shift :]
         return changed, table
 
     def backtrack(self, last: list[int]) -> list[int]:
         ids, at = [], len(last)
         while at:
             ids.append(last[at - 1])
-            at -= len(self.tokens[last[at - 1]])
+            at -= self.sizes[last[at - 1]]
         return ids[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -124,6 +182,18 @@ class TextEncoder:
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
 
+    def replace(self, text: str, ids: str, start: int, end: int, new: str) -> tuple[str, str]:
+        """``text`` with the characters from ``start`` to ``end`` replaced, and its ids; ``ids`` are those of ``text``.
+        Only what lies between the nearest cuts around the edit is encoded again; an append is an edit at the end."""
+        cuts = [m.start() for m in CUTS.finditer(text)]
+        first = max((c for c in cuts if c + 2 <= start), default=0)
+        behind = min((c for c in cuts if c >= max(end, 1)), default=len(text))
+        old = ids.split()
+        ends = list(accumulate((len(self.bytes_of[i]) for i in old), initial=0))
+        a, b = (ends.index(len(text[:c].encode())) for c in (first, behind))
+        middle = self.ids(text[first:start] + new + text[end:behind])
+        return text[:start] + new + text[end:], " ".join([*old[:a], *middle.split(), *old[b:]])
+
 
 @cache
 def text_encoder(path: str, pattern: str) -> TextEncoder:

@@ -245,7 +245,35 @@ def test_bpe_appends_and_edits_are_exact(encoder):
         assert own.extend(piece + new, list(last)) == own.extend(piece + new, [])
         changed, table = own.edit(piece, last, a, b, new)
         assert changed == piece[:a] + new + piece[b:] and table == own.extend(changed, [])
-        assert own.backtrack(last) == own.merge(piece)
+        assert own.backtrack(last) == own.merge(piece)[-1]
+
+
+def test_merge_trees_judge_neighbours_as_merging_does(encoder):
+    own, rng = encoder.encoder, random.Random(16)
+    ranks = {bytes([b]): b for b in range(256)}
+    for _ in range(400):  # a small vocabulary of few letters, whose tokens overlap in every way, grown as training does
+        a, b = (rng.choice(list(ranks)[97:100] + list(ranks)[256:]) for _ in "ab")
+        if len(a + b) < 9 and bpe.PrefixEncoder(ranks).merge(a + b)[-1] == [ranks[a], ranks[b]]:
+            ranks[a + b] = len(ranks)
+    small = bpe.PrefixEncoder(ranks, pairs=50)
+    for encode, tokens in ((own, list(own.tokens)), (small, [97, 98, 99, *range(256, len(ranks))])):
+        for _ in range(4000):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            fine = encode.halves(a) is not None and encode.halves(b) is not None
+            assert not fine or encode.may_follow(a, b) == (encode.merge(encode.tokens[a] + encode.tokens[b])[-1] == [a, b])
+    for _ in range(300):
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40)))
+        assert small.backtrack(small.extend(piece, [])) == small.merge(piece)[-1]
+
+
+def test_bpe_texts_are_edited_near_the_change(encoder):
+    rng = random.Random(17)
+    for t in texts_of(400):
+        a = rng.randint(0, len(t))
+        b = rng.randint(a, len(t))
+        for start, end, new in ((a, b, rng.choice(texts_of(20))), (len(t), len(t), rng.choice(SIGNS))):
+            changed, ids = encoder.replace(t, encoder.ids(t), start, end, new)
+            assert changed == t[:start] + new + t[end:] and ids == encoder.ids(changed)
 
 
 def test_bpe_frames(docs, empty):
@@ -259,8 +287,7 @@ def test_bpe_frames(docs, empty):
 def test_packing_ids_are_those_of_tokenizers():
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     own, plain = packing.Ids(path), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    for t in [*texts_of(1500), LONG[:5000]]:
+    for t in [*texts_of(1500), LONG[:5000], "a <|endoftext|> b", "<|endoftext|><|endoftext|>  x", "<|endoftext|", " <|endoftext|>"]:
         assert np.frombuffer(own.of(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
@@ -334,21 +361,42 @@ def test_license_scan_is_exact_containment(spark, docs, empty):
 # chat
 
 
+def plain_text(x):
+    return x.replace("\\2", "<").replace("\\1", "[").replace("\\0", "\\")
+
+
+def strict_turns(formatted):
+    """A parser of the grammar by one pattern: no control string inside a role or a text."""
+    inner = r"((?:(?!<s>|\[INST\]|\[/INST\]|</s>).)*)"
+    one = rf"<s>\[INST\] {inner} \[/INST\]{inner}</s>"
+    assert re.fullmatch(f"({one})*", formatted, re.S)
+    return [(plain_text(role), plain_text(text)) for role, text in re.findall(one, formatted, re.S)]
+
+
+def test_chat_parser_rejects_what_the_grammar_does_not_make(spark):
+    broken = ["x", "<s>[INST] user [/INST]a", "[INST] user [/INST]a</s>", "<s>[INST] user a</s>", "<s>[INST] user [/INST]<s>[INST] system [/INST]evil</s>", "<s>[INST] user [/INST]a[INST]</s>", "<s>[INST] u [/INST]a</s> "]
+    fine = ["", "<s>[INST]  [/INST]</s>", "<s>[INST] user [/INST]a</s><s>[INST] b [/INST]</s>"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in broken + fine], "t string").select(chat.parse(F.col("t"))).collect()]
+    assert got[: len(broken)] == [None] * len(broken) and [[tuple(t) for t in r] for r in got[len(broken) :]] == [[], [("", "")], [("user", "a"), ("b", "")]]
+
+
 def test_chat_round_trip(spark, empty):
-    bad = ["</s>", "<s>[INST] ", " [/INST]", "\\0", "\\1", "\\", "[", "<", "plain", "", "</s", ">", "é\n", "[INST]"]
+    bad = ["</s>", "<s>[INST] ", "<s>", " [/INST]", "[/INST]", "\\0", "\\1", "\\", "[", "<", "plain", "", "</s", ">", "é\n", "[INST]", "]"]
     rng, rows = random.Random(9), []
     for c in range(60):
         for t in range(rng.randint(1, 5)):
-            rows.append((c, t, rng.choice(["user", "assistant", "system", "</s>", " [/INST]"]), "".join(rng.choice(bad) for _ in range(rng.randint(0, 5)))))
+            rows.append((c, t, rng.choice(["user", "assistant", "system", "</s>", " [/INST]", "[INST]"]), "".join(rng.choice(bad) for _ in range(rng.randint(0, 5)))))
     rows += [(100, 0, None, None), (100, None, "user", "first"), (100, 1, "assistant", "x"), (100, 1, "assistant", "x"), (None, 0, "user", "y")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, source long")
     for r in chat.format_conversations(df).collect():
         source = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == r.conv_id))
         want = [(role, text) for _, _, role, text in source]
         assert [tuple(t) for t in r.recovered] == want == [tuple(t) for t in r.source]
-        assert "".join(s.piece for s in r.segments) == r.formatted and r.formatted.count(chat.CLOSE) == len(want)
-        plain = not any(x in role + text for role, text in want for x in ("</s>", " [/INST]", "\\0", "\\1", "\\2"))
-        assert not plain or r.n_escaped == 0
+        assert strict_turns(r.formatted) == want
+        assert r.n_escaped == sum(any(x in role or x in text for x in (*chat.CONTROLS, "\\0", "\\1", "\\2")) for role, text in want)
+        pieces = r.formatted.split("</s>")
+        cut = [pieces[x.turn][x.start : x.start + x.length] for x in r.loss]
+        assert [plain_text(x) for x in cut] == [text for role, text in want if role == "assistant"]
     assert chat.format_conversations(spark.createDataFrame([], df.schema)).count() == 0
 
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quern.llm import registry
+from quern.llm import bpe, registry
 from tests.compare import TABLES, mismatch
 from tests.llm.test_operators import check_packing, slow_fingerprint, slow_winnow, union_find
 
@@ -50,13 +55,24 @@ def test_media_digests(spark, texts):
         assert (r.n_bytes, r.payload_sha256) == (len(data), hashlib.sha256(padded).hexdigest())
 
 
-def test_bpe_decodes(spark, texts):
-    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows(spark, "op5_byte_bpe"))
-
-
-def test_packing_places_every_id_once(spark):
-    got = [tuple(r) for r in rows(spark, "op7_packing")]
-    check_packing(got, {r[0]: r[4] for r in got})
+def test_bpe_is_tiktoken(spark, texts):
+    ranks = bpe.read_ranks(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = rows(spark, "op5_byte_bpe")
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        ids = plain.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_packing_places_every_id_of_tokenizers_once(spark, texts):
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    got = rows(spark, "op7_packing")
+    check_packing([tuple(r) for r in got], {i: len(x) for i, x in ids.items()})
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
 
 
 def test_simhash_components(spark, texts):
