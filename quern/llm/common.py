@@ -45,6 +45,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What a key must hold of all counted rows to be dealt to several tasks (a ``HOT``-th, so fewer than ``HOT`` keys can), and to how many.
+HOT, SALTS = 1000, 64
+
+
+def small(rows: DataFrame, most: int) -> bool:
+    """Whether ``rows`` are at most ``most``, so that they may be sent to every task. They are counted for that."""
+    return rows.count() <= most
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, by: Column, how: str = "inner", most: int = 0) -> DataFrame:
+    """``rows`` joined with ``counted``, which has one row per key and in ``n`` how many of ``rows`` have it; ``counted`` is
+    read several times, so it should be written already. It is sent to every task if it has at most ``most`` rows; if not,
+    hot keys are dealt to ``SALTS`` tasks each, by ``by``."""
+    if most and small(counted, most):
+        return rows.join(F.broadcast(counted), keys, how)
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT > total
+    hot = F.broadcast(counted.filter(is_hot).select(*keys, F.lit(True).alias("__hot")))  # fewer than HOT rows
+    salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(by, F.lit(SALTS)).cast("int"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    return dealt.join(counted.withColumn("__salt", F.explode(salts)).hint("merge"), [*keys, "__salt"], how).drop("__salt")
+
+
 def remote(module: str, name: str, *args: object) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow that finds ``module`` on the worker, also where only the driver has it on its path."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -3,9 +3,9 @@
 Normalised lines are exploded and hashed (128 bits), distinct documents are counted per hash,
 and lines of hashes over the threshold are dropped by position from all but the largest
 document id. Only hashes, ids and positions are shuffled for the count; each text moves
-once, to meet the positions that it loses. Counting is partial before every shuffle and the
-join has one row per hash on its small side, so a line that a third of all documents hold
-stays spread.
+once, to meet the positions that it loses. Counting is partial before every shuffle, and
+where lines meet their counts, the lines of a hot hash are dealt to several tasks, so a line
+that a third of all documents hold stays spread.
 
 Defined cases: null and empty texts are one empty line; a null id counts as one document,
 smaller than all others; rows that repeat an id count as one document and each keeps its own
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANKS, ascii_lower, hash_pair, read
+from quern.llm.common import BLANKS, ascii_lower, checkpoint, hash_pair, join_counted, read
 
 MIN_CHARS, MIN_DOCS = 20, 3
 NO_ID = -(2**63)
@@ -44,9 +44,11 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
         .select("__id", "__text_hash", "__pos", hash_pair(F.col("__key")).alias("__h"))
         .select("__id", "__text_hash", "__pos", "__h.a", "__h.b")
     )
-    frequent = keyed.groupBy("a", "b").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last")).filter(F.col("__n") >= min_docs).select("a", "b", "__last")
+    counted = keyed.groupBy("a", "b", "__id").agg(F.count("*").alias("__rows")).groupBy("a", "b")
+    counted = counted.agg(F.count("*").alias("__n"), F.sum("__rows").alias("__rows"), F.max("__id").alias("__last"))
+    frequent = checkpoint(counted.filter(F.col("__n") >= min_docs).drop("__n"))
     return (
-        keyed.join(frequent, ["a", "b"])
+        join_counted(keyed, frequent, ["a", "b"], "__rows", F.xxhash64("__id", "__pos"))
         .filter(F.col("__id") != F.col("__last"))
         .groupBy("__id", "__text_hash")
         .agg(F.sort_array(F.collect_set("__pos")).alias("__dropped"))
