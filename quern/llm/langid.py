@@ -9,14 +9,18 @@ the centroid's own texts, so that neither an outlier nor a larger sample widens
 cosine with their language's mean is under ``OUTLIER`` times the median take no part in the fit.
 
 Document frequencies count all labelled training texts. Centroids are fitted on at most
-``SAMPLE`` training texts a language, those with the smallest hashes of their ids; each
-language's sample is clustered in a task of its own. What is sent to the workers is the
-frequencies and ``CENTROIDS`` vectors a language.
+``SAMPLE`` different training texts a language, those with the smallest hashes of id and text;
+a histogram of the hashes tells which of them can be among these, so that no task ranks a whole
+language. Each language's sample is clustered in a task of its own. What is sent to the
+workers is the frequencies and ``CENTROIDS`` vectors a language.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is every
 text if there is no labelled training text; languages with few texts get as many centroids as
 texts; equal cosines go to the first language by name; long texts take memory in proportion;
-repeated rows give repeated rows; an empty table gives an empty one; other columns stay.
+a null id is held out if the empty text's crc32 says so (it does not) and trains like any
+other; rows that repeat id and text count once in the sample, equal ids with different texts
+once each; repeated rows give repeated rows; an empty table gives an empty one; other columns
+stay.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import read, remote
+from quern.llm.common import checkpoint, read, remote
 
 FEATURES, SAMPLE, CENTROIDS, ROUNDS, PART, REACH, QUANTILE, OUTLIER = 4096, 1500, 4, 10, 128, 0.5, 0.05, 0.25
+BITS = 12  #: of a hash that make its bin in the histogram
 UNKNOWN = "und"
 
 
@@ -106,7 +111,7 @@ def cluster(frame: pd.DataFrame, idf: bytes) -> pd.DataFrame:
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 class LanguageModel:
@@ -119,15 +124,22 @@ class LanguageModel:
         for feature, n in counted:  # FEATURES + 1 rows
             seen[feature] = n
         self.idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
-        place = F.xxhash64("id")
-        ranked = train.select("lang", "id", place.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id")))
-        chosen = F.broadcast(ranked.filter(F.col("rank") <= sample).select("lang", "id").distinct())  # at most ``sample`` a language
+        keys = train.select("lang", F.xxhash64("id", "text").alias("place"), F.xxhash64(F.lit(1), "id", "text").alias("tie"))
+        keys = checkpoint(keys.distinct())
+        place_bin = F.shiftright("place", 64 - BITS)
+        counted = keys.groupBy("lang", place_bin.alias("bin")).agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) - F.col("n")  # at most 2**BITS rows a language
+        cuts = counted.withColumn("before", before).filter(F.col("before") < sample).groupBy("lang").agg(F.max("bin").alias("cut"))
+        least = keys.join(F.broadcast(cuts), "lang").filter(place_bin <= F.col("cut")).select("lang", "place", "tie")
+        ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "tie")))
+        chosen = F.broadcast(ranked.filter(F.col("rank") <= sample).drop("rank"))  # at most ``sample`` a language
         idf, run = self.idf.tobytes(), remote(__name__, "cluster_run")
 
         def fit(frame: pd.DataFrame) -> pd.DataFrame:
             return next(run([(frame, idf)]))
 
-        picked = train.withColumn("place", place).join(chosen, ["lang", "id"], "left_semi").dropDuplicates(["lang", "id"])
+        keyed = train.withColumns({"place": F.xxhash64("id", "text"), "tie": F.xxhash64(F.lit(1), "id", "text")})
+        picked = keyed.join(chosen, ["lang", "place", "tie"], "left_semi").dropDuplicates(["lang", "place", "tie"])
         fitted = sorted(picked.groupBy("lang").applyInPandas(fit, "lang string, center binary, least double").collect(), key=lambda r: (r["lang"], bytes(r["center"])))
         self.langs = [r["lang"] for r in fitted]
         self.centers = np.stack([np.frombuffer(r["center"], np.float32) for r in fitted]) if fitted else np.zeros((0, FEATURES), np.float32)
