@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import bpe, chat, components, langid, licenses, line_dedup, matroska, near_dedup, packing, quality, simhash, winnow
+from quern.llm import bpe, chat, common, components, langid, licenses, line_dedup, matroska, near_dedup, packing, quality, simhash, winnow
 from quern.llm.pretokens import parts
 
 LONG = "the quick brown fox jumps over the lazy dog and runs away\n" * 3000
@@ -106,6 +107,61 @@ def test_quality(spark, docs, empty):
     assert quality.keep_sampled(empty, labels).count() == 0
 
 
+def slow_ngrams(text):
+    """The hashed n-grams of one text, word by word."""
+    mask, base = 2**64 - 1, int(quality.BASE)
+
+    def poly(codes, start):
+        return sum(c * pow(base | 1, k, 1 << 64) for k, c in enumerate(codes, start)) & mask
+
+    def bucket(h):
+        h = ((h ^ h >> 31) * int(quality.MIX)) & mask
+        return (h ^ h >> 29) % quality.BUCKETS
+
+    kind = lambda c: 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
+    found, last, last_shape = [], None, None
+    for word in re.split(rb"[\x09-\x0d\x20]+", text):
+        if word:
+            own = poly(word.lower(), 0)
+            shape = (poly([k for k, _ in itertools.groupby(map(kind, word))], 0) * 2 + (own == last)) & mask
+            found += [bucket(own), bucket(shape) + quality.BUCKETS]
+            if last is not None:
+                found.append(bucket((last_shape * base + shape) & mask) + 2 * quality.BUCKETS)
+            last, last_shape = own, shape
+    return found
+
+
+def test_resampling_is_brute_force(spark):
+    """Log importances and the Gumbel top-k by plain Python, with ties at the k-th score, repeated rows and null texts."""
+    rng = random.Random(21)
+    words = "Alpha beta beta Gamma 12 delta!! epsilon Zeta99".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(200, None), (201, ""), (202, " \n")]
+    rows += [rows[5]] * 3 + [(None, "no id")] * 2
+    labels = {i: rng.randint(0, 1) for i in range(0, 120, 2)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, q, 0) for i, q in labels.items()] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    raw, target = np.zeros(3 * quality.BUCKETS), np.zeros(3 * quality.BUCKETS)
+    for i, t in rows:
+        for f in slow_ngrams((t or "").encode()):
+            raw[f] += 1
+            target[f] += labels.get(i) == 1
+    weights = []
+    for t, r in zip(np.split(target, 3), np.split(raw, 3)):
+        weights.append(np.log((t + quality.PRIOR) / (r * t.sum() / r.sum() + quality.PRIOR)))
+    weights = np.concatenate(weights)
+    noise = {r.doc_id: r.g for r in df.select("doc_id", quality.gumbel(F.col("doc_id")).alias("g")).collect()}
+    want = [(i, sum(weights[f] for f in slow_ngrams((t or "").encode()))) for i, t in rows]
+    scores = sorted((round((x + noise[i]) * 1e6) for i, x in want), reverse=True)
+    for k in (1, 40, len(rows)):
+        fitted = quality.Resampler(df, marks, k=k)
+        got = fitted.scored.withColumn("kept", fitted.keeps()).collect()
+        order = lambda pairs: sorted(pairs, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        for (i, x), (j, y) in zip(order((r.doc_id, r.importance) for r in got), order(want)):
+            assert i == j and x == pytest.approx(y, abs=1e-6)
+        assert all(r.kept == (r.key >= fitted.least) for r in got) and abs(fitted.least - scores[k - 1]) <= 1
+        assert len({r.kept for r in got if r.doc_id == 5}) == 1 and sum(r.kept for r in got) >= k
+
+
 def test_ngrams_do_not_depend_on_the_batch():
     texts = [(t or "").encode() for _, t, _ in ROWS]
     one = [sorted(quality.ngrams([t])[1].tolist()) for t in texts]
@@ -163,6 +219,37 @@ def test_foreign_and_garbage_texts_are_rejected_labelled_or_not(spark):
     assert len(clean - kept) <= len(clean) // 200
 
 
+def test_language_model_is_brute_force(spark):
+    """Sample, frequencies and predictions by plain Python; equal ids with different texts and rows without an id take part."""
+    rng = random.Random(20)
+    pools = {"en": "the and of with that from this have not".split(), "de": "der die und nicht über schön größe ein".split()}
+    rows = [(k % 90 if k % 7 else None, " ".join(rng.choice(pools[lang]) for _ in range(rng.randint(3, 20))), lang) for k in range(150) for lang in pools]
+    rows += rows[:20] + [(500, None, "en"), (501, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.LanguageModel(df, sample=40)
+    train = [(i, t, lang) for i, t, lang in rows if t is not None and lang is not None]
+    counts = [langid.counts_of([t.encode()])[0] for _, t, _ in train]
+    seen = sum((c > 0).astype(int) for c in counts)
+    idf = np.log((1 + len(train)) / (1 + seen)) + 1
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    hashed = {(r.doc_id, r.text, r.lang): (r.place, r.tie) for r in df.filter("text IS NOT NULL").select("*", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("place"), F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), "text").alias("tie")).collect()}
+    for lang in pools:
+        sample = sorted({(hashed[r], r) for r in train if r[2] == lang}, key=lambda x: x[0])[:40]
+        x = [np.log1p(langid.counts_of([r[1].encode()])[0]) * idf for _, r in sample]
+        x = np.array([v / np.linalg.norm(v) for v in x], np.float32)
+        frame = pd.DataFrame({"lang": lang, "place": [h[0] for h, _ in sample], "text": [r[1] for _, r in sample]})
+        want = langid.cluster(frame, model.idf.tobytes())
+        own = [k for k, name in enumerate(model.langs) if name == lang]
+        assert sorted(np.frombuffer(c, np.float32).round(4).tolist() for c in want["center"]) == sorted(model.centers[k].round(4).tolist() for k in own)
+        assert np.allclose(np.linalg.norm(x, axis=1), 1)
+    for r in df.filter("text IS NOT NULL").select("text", model.predict(F.col("text")).alias("p")).collect():
+        v = np.log1p(langid.counts_of([r.text.encode()])[0]) * idf
+        cosines = model.centers @ (v / np.linalg.norm(v))
+        best = int(np.argmax(cosines))
+        assert r.p.score == pytest.approx(cosines[best], abs=1e-4) and cosines[model.langs.index(r.p.lang)] <= cosines[best] + 1e-4
+        assert abs(cosines[best] - model.least[best] * langid.REACH) < 1e-4 or r.p.rejected == (cosines[best] < model.least[best] * langid.REACH)
+
+
 def test_held_out_is_crc32(docs):
     got = {(r.doc_id, r.h) for r in docs.filter("doc_id IS NOT NULL").select("doc_id", langid.held_out("doc_id").alias("h")).collect()}
     assert got == {(i, zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in ROWS if i is not None}
@@ -500,6 +587,42 @@ def test_keep_one_finds_pairs_within_a_family(spark):
     assert got == want
 
 
+def test_keep_one_finds_pairs_within_a_large_family(spark):
+    # 4,000 texts that are about 0.69 alike; 400 of them have a partner at 0.8 to 0.9, all in the same buckets
+    rng = random.Random(15)
+    base, texts = [f"b{i}" for i in range(360)], []
+    for k in range(4000):
+        own = base + [f"o{k}_{i}" for i in range(76)]
+        texts.append(" ".join(own))
+        if k < 400:
+            other = list(own)
+            other[-(8 + k % 40) :] = [f"x{k}_{i}" for i in range(8 + k % 40)]
+            texts.append(" ".join(other))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, texts[k]) for i, k in enumerate(order)]
+    place = {k: i for i, k in enumerate(order)}
+    gone = {max(place[2 * k], place[2 * k + 1]) for k in range(400) if similar(texts[2 * k], texts[2 * k + 1])}
+    assert len(gone) > 300 and not similar(texts[800], texts[801])
+    got = {r.doc_id for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(place.values()) - got == gone
+
+
+def test_rows_of_one_id_and_other_texts_stay(spark):
+    rows = [(1, "a b c"), (1, "d e f"), (1, "d e f"), (2, "a b c"), (None, "g h"), (None, "g h"), (None, "i j"), (3, "i j")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "a b c"), (1, "d e f"), (None, "g h"), (3, "i j")], key=str)
+
+
+def test_counted_joins_deal_hot_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"), "id")
+    counted = common.checkpoint(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("k < 2500"))
+    want = list(map(tuple, rows.join(counted, "k", "left").select("id", "n", "first").collect()))
+    for most in (0, 10**6):
+        got = common.join_counted(rows, counted, ["k"], "n", F.xxhash64("id"), "left", most).select("id", "n", "first").collect()
+        assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+
+
 def test_keep_one_of_odd_rows(docs, empty):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
@@ -512,6 +635,7 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {**{k: 0 for k in range(1, 101)}, 201: 200}
+    assert {r.node: r.root for r in components.components(edges, most=0).collect()} == got
     assert components.components(edges.limit(0)).count() == 0
 
 
@@ -525,21 +649,34 @@ def chain(items, seed=42):
 
 
 def slow_winnow(text, k=winnow.K, w=winnow.W):
-    pack = lambda v: struct.pack("<q", v)
-    words = [chain([x.encode()]) for x in re.findall(r"[^\x20\x09-\x0D]{1,24}", text.lower())]
-    runs = [chain(map(pack, words[i : i + k])) for i in range(len(words) - k + 1)] if len(words) >= k else [chain(map(pack, words))] if words else []
+    """By the definition: each run's hash from its k tokens, each window's minimum from its w runs."""
+    tokens = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+        tokens += [run] if len(run) <= 24 else list(run)
+    tokens = [chain([x.encode()]) for x in tokens]
+    turn = lambda x, by: (x << by | (x & 2**64 - 1) >> 64 - by) & 2**64 - 1 if by else x & 2**64 - 1
+    runs = []
+    for i in range(len(tokens) - k + 1):
+        h = 0
+        for j, x in enumerate(tokens[i : i + k]):
+            h ^= turn(x & 2**64 - 1, k - 1 - j)
+        runs.append(simhash.signed(h))
+    if 0 < len(tokens) < k:
+        runs = [chain(struct.pack("<q", x) for x in tokens)]
+    rank = [(x & 2**64 - 1) >> 32 for x in runs]
     at = []
     for i in range(max(1, len(runs) - w + 1)):
-        own = runs[i : i + w]
+        own = rank[i : i + w]
         if own:
             p = i + max(j for j, x in enumerate(own) if x == min(own))
             at += [p] if not at or at[-1] != p else []
-    return at, [runs[p] for p in at]
+    alone = list(range(len(tokens))) if len(tokens) < k + w - 1 else []
+    return at + alone, [runs[p] for p in at] + [tokens[p] for p in alone]
 
 
 def test_winnowing_is_brute_force(spark, docs, empty):
     rng = random.Random(11)
-    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", "é\n", "中文" * 14]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
     for df, texts in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs.filter("doc_id < 7"), [(i, t) for i, t, _ in ROWS if i and i < 7])):
         want = {i: slow_winnow(t or "") for i, t in texts}
         for r in winnow.fingerprints(df).collect():
@@ -547,6 +684,22 @@ def test_winnowing_is_brute_force(spark, docs, empty):
     assert winnow.fingerprints(empty).count() == 0
 
 
+def test_winnowing_of_other_lengths_is_brute_force(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, w in ((1, 1), (2, 3), (3, 5), (7, 6), (4, 13)):
+        for r in winnow.fingerprints(df, k=k, w=w).collect():
+            assert (list(r.positions), list(r.hashes)) == slow_winnow(rows[r.doc_id][1], k, w)
+
+
+def test_an_insertion_into_an_unbroken_run_leaves_its_other_hashes():
+    rng = random.Random(19)
+    text = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(300))
+    a, b = (set(slow_winnow(t)[1]) for t in (text, text[:20] + "x" + text[20:]))
+    assert len(a & b) >= 0.9 * len(a)
+
+
 def test_shared_runs_share_a_hash():
     rng = random.Random(12)
     for _ in range(200):

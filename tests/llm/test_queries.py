@@ -85,6 +85,7 @@ def test_simhash_components(spark, texts):
 def test_winnowing_edits(spark, texts):
     ids = sorted(texts)
     got = {r.doc_id: r for r in rows(spark, "op10_winnowing")}
+    assert len({r.fingerprint for i, r in got.items()}) == len({tuple(map(tuple, slow_winnow(t))) for t in texts.values()})
     like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
     for i, j in zip(ids, ids[1:] + ids[:1]):
         n = len(texts[i]) // 4
