@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,14 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, b
     return dealt.join(counted.withColumn("__salt", F.explode(salts)).hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
+def release() -> None:
+    """Give the memory that a worker has freed back to the machine, as workers idle while the JVM's stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def remote(module: str, name: str, *args: object) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow that finds ``module`` on the worker, also where only the driver has it on its path."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -79,6 +89,9 @@ def remote(module: str, name: str, *args: object) -> Callable[[Iterator], Iterat
 
         if root not in sys.path:
             sys.path.append(root)
-        yield from getattr(importlib.import_module(module), name)(batches, *args)
+        try:
+            yield from getattr(importlib.import_module(module), name)(batches, *args)
+        finally:
+            importlib.import_module("quern.llm.common").release()
 
     return run
