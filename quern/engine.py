@@ -172,7 +172,7 @@ class Engine:
             self.needed.add(name)
         if name not in self.needed:
             module, fn, returns, fixed = scalar.PYTHON[name]
-            made = F.udf(located(module, fn), returns)
+            made = F.udf(located(module, fn), returns, useArrow=True)
             self.spark.udf.register(name, made if fixed else made.asNondeterministic())
             self.needed.add(name)
 

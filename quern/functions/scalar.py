@@ -19,6 +19,8 @@ Build = Callable[[Emitter, list[Typed], Node], Typed]
 CALLS: dict[str, tuple[Build, int, int]] = {}
 #: name -> (module, function, Spark type of the result, deterministic)
 PYTHON: dict[str, tuple[str, str, str, bool]] = {
+    "quern_words": ("quern.operators.fts", "words", "array<string>", True),
+    "quern_words_matched": ("quern.operators.fts", "matched", "int", True),
     "quern_glob": ("quern.functions.glob", "glob_match", "boolean", True),
     "quern_char": ("quern.functions.glob", "characters", "string", True),
     "quern_randomblob": ("os", "urandom", "binary", False),
@@ -299,8 +301,8 @@ def to_json_value(e: Emitter, x: Typed) -> str:
         return "'null'"
     if k in ("int", "real"):
         return f"coalesce({e.text((s, k))}, 'null')"
-    quoted = f"concat('\"', replace(replace(replace(replace(replace({s}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), '\\n', '\\\\n'), '\\t', '\\\\t'), '\\r', '\\\\r'), '\"')"
-    return f"coalesce({quoted}, 'null')"
+    written = f"to_json(named_struct('v', {s}))"  # {"v":"..."}
+    return f"IF({s} IS NULL, 'null', substring({written}, 6, length({written}) - 6))"
 
 
 def embedded(e: Emitter, x: Typed) -> str:
@@ -466,21 +468,38 @@ def version(e: Emitter, a: list[Typed], n: Node) -> Typed:
     return ("'3.46.0'" if n.name.endswith("VERSION") else "'quern'"), "text"
 
 
-def tokens(text: str) -> str:
-    """A text's search tokens as an array, by built-in functions."""
-    return f"regexp_extract_all(lower(coalesce({text}, '')), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"
+def tokens(e: Emitter, text: str) -> str:
+    """A text's search tokens as an array, those of full-text tables."""
+    from quern.operators import fts
+
+    e.host.need("quern_words")
+    own = f"coalesce({text}, '')"
+    return f"IF(octet_length({own}) = char_length({own}), {fts.plain_tokens(own)}, quern_words({own}))"
+
+
+def matched_share(e: Emitter, a: list[Typed], n: Node) -> tuple[str, str]:
+    """How many of a query's tokens a text has, and how many there are."""
+    from quern.operators import fts
+
+    query = e.constant(n.args[1])
+    if query is None:
+        e.host.need("quern_words_matched")
+        e.host.need("quern_words")
+        return f"quern_words_matched(coalesce({e.text(a[0])}, ''), coalesce({e.text(a[1])}, ''))", f"size(quern_words(coalesce({e.text(a[1])}, '')))"
+    words, text = fts.query_tokens(str(query)), tokens(e, e.text(a[0]))
+    return " + ".join([f"int(array_contains({text}, '{w}'))" for w in words] or ["0"]), str(len(words))
 
 
 @function("FTS5_MATCH", 2)
 def fts5_match(e: Emitter, a: list[Typed], n: Node) -> Typed:
-    text, query = tokens(e.text(a[0])), tokens(e.text(a[1]))
-    return f"CAST(IF({a[0][0]} IS NULL, false, forall({query}, q -> array_contains({text}, q))) AS BIGINT)", "int"
+    matched, total = matched_share(e, a, n)
+    return f"CAST({a[0][0]} IS NOT NULL AND ({matched}) = {total} AS BIGINT)", "int"
 
 
 @function("FTS5_RANK", 2)
 def fts5_rank(e: Emitter, a: list[Typed], n: Node) -> Typed:
-    text, query = tokens(e.text(a[0])), tokens(e.text(a[1]))
-    return f"(CASE WHEN size({query}) = 0 THEN 0D ELSE CAST(size(filter({query}, q -> array_contains({text}, q))) AS DOUBLE) / size({query}) END)", "real"
+    matched, total = matched_share(e, a, n)
+    return f"(CASE WHEN {total} = 0 THEN 0D ELSE CAST({matched} AS DOUBLE) / {total} END)", "real"
 
 
 @function("__FTS5_RANK_TOKEN", 2)

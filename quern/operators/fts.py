@@ -1,8 +1,11 @@
 """Full-text search: an inverted index as DataFrames, its query language, and BM25.
 
-Tokens are runs of letters and digits, in lower case, without combining marks after
-compatibility decomposition where a text is not ASCII. The index is (col, term, rowid,
-positions) and (col, rowid, dl). A query becomes filters and joins on the index.
+Words are those of Unicode's text segmentation: letters, digits and underscores, with signs
+such as ' and . between letters and , and . between digits; an ideograph is a word of its own.
+A token is a word's letters and digits, in lower case, without combining marks after
+compatibility decomposition. ASCII texts stay with built-in functions. The index is (col, term,
+rowid, positions) and (col, rowid, dl). A query becomes filters and joins on the index; the
+words of a phrase are picked in one scan.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,31 +25,50 @@ from quern.dialect.parser import SqlError
 from quern.functions.worker import located
 
 K1, B, NEAR = 1.2, 0.75, 10
-TOKEN = r"[\p{L}\p{N}]+"
+#: Between letters, between digits: what does not end a word. The same in each dialect of patterns.
+JOINS = "(?:{letter}(?:[:.'\u2019\u00b7]{letter})*|{digit}(?:[,;.'\u2019]{digit})*|_)+"
+ASCII_WORD = JOINS.format(letter="[a-z]", digit="[0-9]")
+IDEOGRAPH = r"[\p{Han}\p{Hiragana}]"
+ANY_WORD = regex.compile(rf"{IDEOGRAPH}\p{{M}}*|" + JOINS.format(letter=rf"(?:(?!{IDEOGRAPH})\p{{L}}\p{{M}}*)", digit=r"(?:\p{N}\p{M}*)"))
 
 
-def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+def fold(word: str) -> str:
+    kept = (c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return "".join(c for c in "".join(kept).lower() if c.isalnum())
 
 
-def query_tokens(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", fold(text))
+def words(text: str | None) -> list[str] | None:
+    return None if text is None else [t for t in map(fold, ANY_WORD.findall(text)) if t]
 
 
-def folded(text: Column) -> Column:
-    one = located(__name__, "fold")
+def matched(text: str, query: str) -> int:
+    """How many of a query's tokens a text has."""
+    own = set(words(text))
+    return sum(w in own for w in words(query))
+
+
+def query_tokens(text: str) -> list[str]:
+    return words(text) or []
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else one(t))
 
-    return run(text)
+def plain_tokens(text: str) -> str:
+    """Spark SQL for the tokens of an ASCII text."""
+    pattern = ASCII_WORD.replace("'", "\\'")
+    return f"filter(transform(regexp_extract_all(lower({text}), '{pattern}', 0), w -> regexp_replace(w, '[^a-z0-9]', '')), w -> w != '')"
 
 
 def tokens(text: Column) -> Column:
-    """A text's tokens in order. ASCII texts stay with built-in functions."""
+    """A text's tokens in order."""
+    one = located(__name__, "words")
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
     plain = F.octet_length(text) == F.char_length(text)
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(folded(F.when(~plain, text))), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(ASCII_WORD), F.lit(0))
+    ascii_tokens = F.filter(F.transform(found, lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: w != "")
+    return F.when(plain, ascii_tokens).otherwise(run(F.when(~plain, text)))
 
 
 @dataclass
@@ -60,7 +83,8 @@ def build(rows: DataFrame, id_col: str, columns: list[str]) -> Index:
     on terms is pushed below the grouping, so a query groups only the postings of its own words."""
     each = [rows.select(F.col(id_col).alias("rowid"), F.lit(c).alias("col"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for c in columns]
     split = reduce(DataFrame.unionAll, each)
-    terms = split.select("col", "rowid", F.posexplode("tokens").alias("pos", "term"))
+    # outer: else Spark would tokenise a second time to drop empty texts before
+    terms = split.select("col", "rowid", F.posexplode_outer("tokens").alias("pos", "term")).filter("term IS NOT NULL")
     postings = terms.groupBy("col", "term", "rowid").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return Index(postings, split.select("col", "rowid", F.size("tokens").cast("long").alias("dl")), columns)
 
@@ -94,13 +118,11 @@ def parse(query: str) -> tuple:
     return ("or", parts)
 
 
-def positions_of(index: DataFrame, word: str, name: str) -> DataFrame:
-    return index.filter(F.col("term") == word).select("col", "rowid", F.col("positions").alias(name))
-
-
 def words_joined(index: DataFrame, words: list[str]) -> DataFrame:
     """(col, rowid, p0, p1, ...) of the rows with all words; a row for each column of a row."""
-    return reduce(lambda a, b: a.join(b, ["col", "rowid"]), [positions_of(index, w, f"p{k}") for k, w in enumerate(words)])
+    found = index.filter(F.col("term").isin(sorted(set(words))))
+    picked = found.groupBy("col", "rowid").agg(*[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(words)])
+    return picked.dropna()
 
 
 def near(words: int, n: int) -> Column:

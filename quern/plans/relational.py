@@ -55,20 +55,20 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "q_win_frames_rows": ("orders", "SELECT o_orderkey, SUM(o_custkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s, COUNT(*) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS 3 PRECEDING) AS n, MIN(o_orderkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM orders", "SELECT o_orderkey, CAST(SUM(o_custkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s, COUNT(*) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS 3 PRECEDING) AS n, MIN(o_orderkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM orders"),
     "q_win_default_peers": ("orders", "SELECT o_orderkey, SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS running, MAX(o_orderkey) OVER (PARTITION BY o_orderstatus) AS top FROM orders", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS BIGINT) AS running, MAX(o_orderkey) OVER (PARTITION BY o_orderstatus) AS top FROM orders"),
     "q_win_range_current": ("orders", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM orders", None),
-    "q_win_groups_sql": ("orders", "SELECT o_orderkey, SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS CURRENT ROW) AS peers FROM orders WHERE o_totalprice > 1000", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS BIGINT) AS before, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN CURRENT ROW AND CURRENT ROW) AS peers FROM orders WHERE o_totalprice > 1000"),
+    "q_win_groups_sql": ("orders", "SELECT o_orderkey, SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS CURRENT ROW) AS peers FROM orders", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS BIGINT) AS before, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN CURRENT ROW AND CURRENT ROW) AS peers FROM orders"),
     "q_win_filter": ("events", "SELECT event_id, COUNT(*) FILTER (WHERE value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AS high FROM events", None),
     "q_win_named": ("orders", "SELECT o_orderkey, ROW_NUMBER() OVER w2 AS rn, COUNT(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey), w2 AS (w ORDER BY o_orderkey DESC)", None),
     "q_win_over_aggregate": ("orders", "SELECT o_custkey, COUNT(*) AS n, RANK() OVER (ORDER BY COUNT(*) DESC) AS place FROM orders GROUP BY o_custkey", None),
-    "q_order_nulls": ("orders", "SELECT o_orderkey, nullif(o_custkey % 7, 3) AS k FROM orders ORDER BY k, o_orderkey LIMIT 500", "SELECT o_orderkey, nullif(o_custkey % 7, 3) AS k FROM orders ORDER BY k NULLS FIRST, o_orderkey LIMIT 500"),
+    "q_order_nulls": ("orders", "SELECT o_orderkey, nullif(o_custkey % 7, 3) AS k FROM orders ORDER BY k, o_orderkey", "SELECT o_orderkey, nullif(o_custkey % 7, 3) AS k FROM orders ORDER BY k NULLS FIRST, o_orderkey"),
     "q_order_limit_offset": ("orders", "SELECT o_orderkey, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, 1 LIMIT 25 OFFSET 10", None),
     "q_order_unprojected": ("orders", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 40", None),
     "q_distinct": ("orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
     "q_union_all": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
-    "q_union": ("customer supplier", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 50 UNION SELECT s_nationkey FROM supplier ORDER BY k LIMIT 10", "SELECT * FROM (SELECT c_nationkey AS k FROM customer WHERE c_custkey < 50 UNION SELECT s_nationkey FROM supplier) ORDER BY k LIMIT 10"),
-    "q_intersect": ("customer supplier", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 30 INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30", None),
-    "q_intersect_all_semi": ("customer supplier", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 100 INTERSECT ALL SELECT s_nationkey FROM supplier WHERE s_suppkey < 30", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 100 AND c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 30)"),
-    "q_except": ("customer supplier", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 15", None),
-    "q_except_all_anti": ("customer supplier", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 100 EXCEPT ALL SELECT s_nationkey FROM supplier WHERE s_suppkey < 15", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 100 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 15)"),
+    "q_union": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier ORDER BY k LIMIT 10", "SELECT * FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) ORDER BY k LIMIT 10"),
+    "q_intersect": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
+    "q_intersect_all_semi": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)"),
+    "q_except": ("nation supplier", "SELECT n_regionkey * 10 + n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier", "SELECT CAST(n_regionkey * 10 + n_nationkey AS BIGINT) AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier"),
+    "q_except_all_anti": ("customer orders", "SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "q_values": ("region", "SELECT column1 AS a, column2 AS b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) v", "SELECT CAST(col0 AS BIGINT) AS a, col1 AS b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) v"),
     "q_cte_chain": ("orders customer", "WITH big(k, price) AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000), per AS (SELECT k, COUNT(*) AS n, MAX(price) AS top FROM big GROUP BY k) SELECT c_name, n, top FROM per JOIN customer ON k = c_custkey WHERE n > 1", None),
     "q_recursive_count": ("region", "WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 200) SELECT x, x * x AS square FROM c", "WITH RECURSIVE c(x) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT x + 1 FROM c WHERE x < 200) SELECT x, x * x AS square FROM c"),

@@ -17,13 +17,20 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "q_json_extract": ("events", "SELECT event_id, CAST(JSON_EXTRACT(props, '$.k') AS INTEGER) AS k, props ->> 'k' AS t, JSON_EXTRACT(props, '$.missing') AS none FROM events WHERE JSON_EXTRACT(props, '$.k') > 50", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, props ->> '$.k' AS t, CAST(NULL AS VARCHAR) AS none FROM events WHERE CAST(props ->> '$.k' AS BIGINT) > 50"),
     "q_json_type_valid": ("events", "SELECT event_id, JSON_TYPE(props) AS t, JSON_TYPE(props, '$.k') AS tk, JSON_VALID(props) AS v, JSON_VALID('no' || props) AS bad, JSON_ARRAY_LENGTH('[1,2,3]') AS n, JSON_ARRAY_LENGTH(props) AS zero FROM events", "SELECT event_id, 'object' AS t, 'real' AS tk, CAST(1 AS BIGINT) AS v, CAST(0 AS BIGINT) AS bad, CAST(3 AS BIGINT) AS n, CAST(0 AS BIGINT) AS zero FROM events"),
     "q_json_build": ("nation", "SELECT n_nationkey, JSON_ARRAY(n_nationkey, n_name, NULL, '[1]') AS a, JSON_OBJECT('name', n_name, 'key', n_nationkey) AS o, JSON_QUOTE(n_name) AS q, JSON('{ \"a\" : [ 1.0, 2 ] }') AS m FROM nation", "SELECT n_nationkey, '[' || n_nationkey || ',\"' || n_name || '\",null,[1]]' AS a, '{\"name\":\"' || n_name || '\",\"key\":' || n_nationkey || '}' AS o, '\"' || n_name || '\"' AS q, '{\"a\":[1,2]}' AS m FROM nation"),
-    "q_json_set_remove_patch": ("events", "SELECT event_id, JSON_SET(props, '$.n', event_id) AS s, JSON_INSERT(props, '$.k', 0) AS i, JSON_REPLACE(props, '$.k', 'x') AS r, JSON_REMOVE(props, '$.k') AS d, JSON_PATCH(props, '{\"k\":null,\"z\":1}') AS p FROM events WHERE event_id < 500", "SELECT event_id, '{\"k\":' || (props ->> '$.k') || ',\"n\":' || event_id || '}' AS s, '{\"k\":' || (props ->> '$.k') || '}' AS i, '{\"k\":\"x\"}' AS r, '{}' AS d, '{\"z\":1}' AS p FROM events WHERE event_id < 500"),
+    "q_json_set_remove_patch": ("events", "SELECT event_id, JSON_SET(props, '$.n', event_id) AS s, JSON_INSERT(props, '$.k', 0) AS i, JSON_REPLACE(props, '$.k', 'x') AS r, JSON_REMOVE(props, '$.k') AS d, JSON_PATCH(props, '{\"k\":null,\"z\":1}') AS p FROM events", "SELECT event_id, '{\"k\":' || (props ->> '$.k') || ',\"n\":' || event_id || '}' AS s, '{\"k\":' || (props ->> '$.k') || '}' AS i, '{\"k\":\"x\"}' AS r, '{}' AS d, '{\"z\":1}' AS p FROM events"),
     "q_json_each": ("region", "SELECT key, value, type, fullkey FROM json_each('{\"a\":1,\"b\":[2,3],\"c\":\"x\"}')", "SELECT * FROM (VALUES ('a', '1', 'real', '$.a'), ('b', '[2,3]', 'array', '$.b'), ('c', 'x', 'text', '$.c')) AS t(key, value, type, fullkey)"),
     "q_json_tree": ("region", "SELECT id, parent, key, type, fullkey, path FROM json_tree('{\"a\":[1,2],\"b\":{\"c\":3}}')", "SELECT CAST(id AS BIGINT) AS id, CAST(parent AS BIGINT) AS parent, key, type, fullkey, path FROM (VALUES (0, NULL, NULL, 'object', '$', '$'), (1, NULL, 'a', 'array', '$.a', '$'), (2, 1, '0', 'real', '$.a[0]', '$.a'), (3, 1, '1', 'real', '$.a[1]', '$.a'), (4, NULL, 'b', 'object', '$.b', '$'), (5, 4, 'c', 'real', '$.b.c', '$.b')) AS t(id, parent, key, type, fullkey, path)"),
-    "q_json_each_lateral": ("events", "SELECT e.event_id, j.key, CAST(j.value AS INTEGER) AS value FROM events e, json_each(e.props) j WHERE e.event_id < 300", "SELECT event_id, 'k' AS key, CAST(props ->> '$.k' AS BIGINT) AS value FROM events WHERE event_id < 300"),
+    "q_json_each_lateral": ("events", "SELECT e.event_id, j.key, CAST(j.value AS INTEGER) AS value FROM events e, json_each(e.props) j", "SELECT event_id, 'k' AS key, CAST(props ->> '$.k' AS BIGINT) AS value FROM events"),
     "q_vec_cosine_topk": ("embeddings", "SELECT vec_id, round(VEC_DISTANCE_COSINE(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), 6) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10", "SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10"),
     "q_vec_l2_topk": ("embeddings", "SELECT vec_id, round(VEC_DISTANCE_L2(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 11)), 6) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10", "SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 11)), 6) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10"),
     "q_vec_dot_topk": ("embeddings", "SELECT vec_id, round(VEC_DISTANCE_DOT(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 3)), 6) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10", "SELECT vec_id, round(list_negative_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)), 6) AS d FROM embeddings ORDER BY d, vec_id LIMIT 10"),
     "q_vec_normalize": ("embeddings", "SELECT vec_id, VEC_LENGTH(embedding) AS n, round(VEC_DISTANCE_DOT(VEC_NORMALIZE(embedding), VEC_NORMALIZE(embedding)), 4) AS unit, VEC_TO_JSON(VEC_FROM_JSON('[1,2.5]')) AS j FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, CAST(-1 AS DOUBLE) AS unit, '[1.0,2.5]' AS j FROM embeddings"),
-    "q_fts_rank_ratio": ("documents", "SELECT doc_id, FTS5_MATCH(text, 'the and') AS m, FTS5_RANK(text, 'the xyzzy') AS r FROM documents", "SELECT doc_id, CAST(list_contains(w, 'the') AND list_contains(w, 'and') AS BIGINT) AS m, CASE WHEN list_contains(w, 'the') THEN 0.5 ELSE 0.0 END::DOUBLE AS r FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)"),
+    "q_json_quote_controls": ("nation", "SELECT n_nationkey, JSON_QUOTE(CHAR(n_nationkey + 1)) AS q, JSON_VALID(JSON_ARRAY(CHAR(n_nationkey + 1), n_name)) AS v, JSON_EXTRACT(JSON_OBJECT('k', CHAR(n_nationkey + 1) || 'x'), '$.k') AS back FROM nation", "SELECT n_nationkey, CAST(to_json(chr(n_nationkey + 1)) AS VARCHAR) AS q, CAST(1 AS BIGINT) AS v, chr(n_nationkey + 1) || 'x' AS back FROM nation"),
+    "q_json_arrows": ("events", "SELECT event_id, props -> '$.k' AS a, JSON_EXTRACT(props, '$.k', '$.none') AS b FROM events", "SELECT event_id, CAST(props -> '$.k' AS VARCHAR) AS a, '[' || (props ->> '$.k') || ',null]' AS b FROM events"),
+    "q_cast_saturates": ("lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * 1e30 AS INTEGER) AS big, CAST(-l_extendedprice * 1e30 AS INTEGER) AS small, CAST(CAST(' 42 ' AS BLOB) AS INTEGER) AS b FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(9223372036854775807 AS BIGINT) AS big, CAST(-9223372036854775808 AS BIGINT) AS small, CAST(42 AS BIGINT) AS b FROM lineitem"),
+    "q_like_column": ("part", "SELECT p_partkey, p_name LIKE UPPER(SUBSTR(p_name, 1, 3)) || '%' AS a, 'É' LIKE LOWER('É') || SUBSTR(p_name, 1, 0) AS b, p_name ILIKE '%GREEN%' AS c FROM part", "SELECT p_partkey, CAST(1 AS BIGINT) AS a, CAST(lower('É') = 'É' AS BIGINT) AS b, CAST(p_name ILIKE '%GREEN%' AS BIGINT) AS c FROM part"),
+    "q_is_true_functions": ("orders", "SELECT o_orderkey, IS_TRUE(o_custkey % 2) AS a, IS_FALSE(o_custkey % 2) AS b, IS_NOT_TRUE(NULLIF(o_custkey % 3, 0)) AS c, IS_NOT_FALSE(NULLIF(o_custkey % 3, 0)) AS d FROM orders", "SELECT o_orderkey, CAST(o_custkey % 2 <> 0 AS BIGINT) AS a, CAST(o_custkey % 2 = 0 AS BIGINT) AS b, CAST(o_custkey % 3 = 0 AS BIGINT) AS c, CAST(1 AS BIGINT) AS d FROM orders"),
+    "q_random_shapes": ("orders", "SELECT o_orderkey, TYPEOF(RANDOM()) AS a, LENGTH(RANDOMBLOB(8)) AS n, TYPEOF(SQLITE_VERSION()) AS v FROM orders", "SELECT o_orderkey, 'integer' AS a, CAST(8 AS BIGINT) AS n, 'text' AS v FROM orders"),
+    "q_fts_match_words": ("nation", "SELECT n_nationkey, FTS5_MATCH('Café au lait ' || n_name, 'cafe') AS accents, FTS5_MATCH('I don''t know foo_bar 3.14 ' || n_name, 'dont foobar 314') AS joined, FTS5_MATCH('I don''t ' || n_name, 'don') AS part, FTS5_MATCH('東京都 ' || n_name, '京') AS ideograph, FTS5_RANK('a b ' || n_name, n_name || ' zz') AS share FROM nation", "SELECT n_nationkey, CAST(1 AS BIGINT) AS accents, CAST(1 AS BIGINT) AS joined, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS ideograph, len(string_split(n_name, ' ')) / (len(string_split(n_name, ' ')) + 1)::DOUBLE AS share FROM nation"),
+    "q_fts_rank_ratio": ("documents", "SELECT doc_id, FTS5_MATCH(text, 'the and') AS m, FTS5_RANK(text, 'the xyzzy') AS r FROM documents", "SELECT doc_id, CAST(list_contains(w, 'the') AND list_contains(w, 'and') AS BIGINT) AS m, CASE WHEN list_contains(w, 'the') THEN 0.5 ELSE 0.0 END::DOUBLE AS r FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(strip_accents(text)), $$(?:\\p{L}(?:[:.'’·]\\p{L})*|\\p{N}(?:[,;.'’]\\p{N})*|_)+$$), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) AS w FROM documents)"),
 }

@@ -96,9 +96,9 @@ def test_nearest(spark):
 
 
 def test_tokens(spark):
-    texts = ["Hello, World! 2x", "Ünïcode CAFÉ ﬁne", "don't stop_now", "", None]
+    texts = ["Hello, World! 2x", "Ünïcode CAFÉ ﬁne", "don't stop_now 4.5 1,000 a,b", "", None, "東京 x", "L’été a.b 3.14é"]
     got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", fts.tokens(F.col("t")).alias("t")).orderBy("k").collect()]
-    assert got == [["hello", "world", "2x"], ["unicode", "cafe", "fine"], ["don", "t", "stop", "now"], [], None]
+    assert got == [["hello", "world", "2x"], ["unicode", "cafe", "fine"], ["dont", "stopnow", "45", "1000", "a", "b"], [], None, ["東", "京", "x"], ["lete", "ab", "314e"]]
     assert fts.query_tokens("Ünï CAFÉ") == ["uni", "cafe"]
     with pytest.raises(SqlError):
         fts.parse(" ")
