@@ -2,8 +2,8 @@
 
 A catalog is replaced, not edited, so a transaction or savepoint is a reference to an older
 one. A table's rows are layers: each statement adds one, the rows it adds and the ids of those
-it removes, as Parquet; a table is its layers laid over each other, and is compacted when
-there are many. Layers are never rewritten in place, so readers keep what they began with.
+it removes, as Parquet; a table is its layers laid over each other, and small layers are
+merged when there are many. Layers are never rewritten in place, so readers keep what they began with.
 """
 
 from __future__ import annotations
@@ -73,6 +73,7 @@ class ForeignKey:
 class Layer:
     added: str | None  #: folder of Parquet files
     removed: str | None  #: folder of row ids that no longer count in the layers below
+    size: int = 0  #: bytes of both
 
 
 @dataclass(frozen=True)

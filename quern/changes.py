@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.catalog import ForeignKey, Table, Trigger, replace
 from quern.dialect.emit import ROWID, Emitter, Relation, Scope, quote, spark_type
 from quern.dialect.parser import Node, SqlError
-from quern.engine import TRIGGER_DEPTH, TRIGGER_ROWS, Engine, ExecResult
+from quern.engine import TRIGGER_DEPTH, Engine, ExecResult
 
 POS, OLD = "__pos__", "__old_rowid__"
 
@@ -32,9 +32,10 @@ def numbered(eng: Engine, df: DataFrame) -> DataFrame:
     sizes = dict(staged.groupBy(part.alias("p")).count().collect())  # a row for each partition
     starts, at = [], 0
     for p in sorted(sizes):
-        starts += [F.lit(p), F.lit(at)]
+        starts.append((p, at))
         at += sizes[p]
-    return staged.withColumn(POS, (inside + F.element_at(F.create_map(*starts), part)).cast("long")) if starts else staged
+    begins = F.broadcast(eng.frame(starts, "__part long, __start long"))  # two numbers for each partition
+    return staged.join(begins, part == F.col("__part")).withColumn(POS, inside + F.col("__start")).select(*staged.columns)
 
 
 def on(left: DataFrame, right: DataFrame, a: list[str] | tuple[str, ...], b: list[str] | tuple[str, ...]) -> SparkColumn:
@@ -53,8 +54,8 @@ def any_null(key: tuple[str, ...]) -> SparkColumn:
 def first_of(df: DataFrame, key: tuple[str, ...], last: bool = False) -> DataFrame:
     """One row for each key, the first by place or the last; rows with a null in the key all stay."""
     order = F.col(POS).desc() if last else F.col(POS)
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*[quote(c) for c in key]).orderBy(order)))
-    return ranked.filter(any_null(key) | (F.col("__n") == 1)).drop("__n")
+    apart = F.when(any_null(key), F.col(POS))  # rows with a null are a group each, not one large group
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*[quote(c) for c in key], apart).orderBy(order))).filter("__n = 1").drop("__n")
 
 
 def returning(eng: Engine, t: Table, items: list[Node] | None, df: DataFrame, params: Any, count: int) -> ExecResult:
@@ -192,8 +193,12 @@ def incoming(eng: Engine, t: Table, node: Node, names: list[str], params: Any) -
             if any(len(r) != len(names) for r in q.body.rows):
                 raise SqlError(f"{width} values for {len(names)} columns")
             cells = [e.common([e.expr(r[k]) for r in q.body.rows]) for k in range(width)]
-            lines = ", ".join(f"({i}L, {', '.join(c[0][i] for c in cells)})" for i in range(len(q.body.rows)))
-            sql = f"SELECT * FROM VALUES {lines} AS __v({POS}, {', '.join(f'__c{k}' for k in range(width))})"
+            lines = [f"{i}L, {', '.join(c[0][i] for c in cells)}" for i in range(len(q.body.rows))]
+            if any(n.kind in ("query", "select") for n in nodes(q.body.rows)):  # VALUES takes no subqueries
+                table = f"({' UNION ALL '.join(f'SELECT {x}' for x in lines)})"
+            else:
+                table = f"VALUES {', '.join(f'({x})' for x in lines)}"
+            sql = f"SELECT * FROM {table} AS __v({POS}, {', '.join(f'__c{k}' for k in range(width))})"
             df, kinds = eng.spark.sql(sql), [c[1] for c in cells]
         else:
             sql, out = e.query(q)
@@ -225,8 +230,12 @@ def with_ids(eng: Engine, t: Table, rows: DataFrame) -> DataFrame:
     n, given, top = rows.agg(F.count("*"), F.count(ROWID), F.max(ROWID)).first()
     if given < n:
         base = max(x or 0 for x in (top, eng.rows(t).agg(F.max(ROWID)).first()[0], t.sequence))
-        place = F.col(POS) if not given else F.row_number().over(Window.partitionBy(F.col(ROWID).isNull()).orderBy(POS)) - 1
-        rows = rows.withColumn("__next", (F.lit(base) + place + 1).cast("long")).withColumn(ROWID, F.coalesce(ROWID, "__next")).drop("__next")
+        if given:
+            without = numbered(eng, rows.filter(F.col(ROWID).isNull()).withColumnRenamed(POS, "__was").orderBy("__was"))
+            behind = without.withColumn(ROWID, F.lit(base).cast("long") + F.col(POS) + 1).withColumn(POS, F.col("__was"))
+            rows = rows.filter(F.col(ROWID).isNotNull()).unionByName(behind.select(*rows.columns))
+        else:
+            rows = rows.withColumn(ROWID, F.lit(base).cast("long") + F.col(POS) + 1)
     if own:
         rows = rows.withColumn(own, F.col(ROWID))
     rows = eng.computed(t, with_missing(t, rows), [c for c in t.columns if c.generated is not None])
@@ -239,14 +248,17 @@ def with_missing(t: Table, rows: DataFrame) -> DataFrame:
 
 
 def upsert(eng: Engine, t: Table, node: Node, new: DataFrame, params: Any) -> ExecResult:
-    """ON CONFLICT DO UPDATE. Rows that repeat a key within the statement are taken in rounds: the first inserts, each
-    later one updates what is there then. There are as many rounds as a key has rows."""
+    """ON CONFLICT DO UPDATE. Of rows that repeat a key within the statement the first inserts, each later one updates
+    what is there then. Where every SET is a ``fold``, all of them are taken at once; else in as many rounds as a key
+    has rows."""
     u = node.upserts[0]
     key = tuple(t.column(c).name for c in u.target) if u.target else t.keys[0]
-    turn = F.row_number().over(Window.partitionBy(*[quote(c) for c in key]).orderBy(POS))
-    new = stage(eng, new.withColumn("__turn", F.when(any_null(key), F.lit(1)).otherwise(turn)))
+    turn = F.row_number().over(Window.partitionBy(*[quote(c) for c in key], F.when(any_null(key), F.col(POS))).orderBy(POS))
+    new = stage(eng, new.withColumn("__turn", turn))
     rounds, total, back = new.agg(F.max("__turn")).first()[0] or 0, 0, []
     kinds = [(c.name, spark_type(c.type)) for c in t.columns]
+    if rounds > 1 and (folds := folds_of(eng, t, node, key, params)) is not None:
+        return upsert_at_once(eng, t, node, new, key, folds, params)
     for k in range(1, rounds + 1):
         t = eng.table(t.name)
         own = new.filter(F.col("__turn") == k).drop("__turn")
@@ -271,6 +283,79 @@ def upsert(eng: Engine, t: Table, node: Node, new: DataFrame, params: Any) -> Ex
     return returning(eng, t, node.returning, merged, params, total)
 
 
+def nodes(x: Any) -> list[Node]:
+    """All nodes below ``x``, itself included."""
+    if isinstance(x, Node):
+        return [x, *[n for k, v in x.__dict__.items() if k != "kind" for n in nodes(v)]]
+    return [n for y in x for n in nodes(y)] if isinstance(x, (list, tuple)) else []
+
+
+def of_excluded(x: Node) -> bool:
+    """Whether an expression depends on the statement's own row alone."""
+    return all(n.kind not in ("query", "select") and (n.kind != "column" or (n.table or "").lower() == "excluded") for n in nodes(x))
+
+
+def folds_of(eng: Engine, t: Table, node: Node, key: tuple[str, ...], params: Any) -> dict[str, tuple[str, str]] | None:
+    """(how, SQL of the part that depends on the own row) of each SET: "last" for an expression of ``excluded`` alone, "sum"
+    for a whole-number column plus one. None if some SET is neither, or if versions between would be seen: by WHERE, by
+    triggers, by unique keys and by foreign keys."""
+    u, names = node.upserts[0], {(node.alias or t.name).lower(), ""}
+    sets = {t.column(n).name for n, _ in u.sets if t.column(n)}
+    watched = {c for k in (*t.keys, key, *[fk.columns for fk in t.foreign]) for c in k} | {t.id_column}
+    generated = {c.name for c in t.columns if c.generated is not None}
+    if u.where is not None or (sets | generated) & watched or len(sets) < len(u.sets) or any(matching(eng, t.name, when, "UPDATE", sets) for when in ("BEFORE", "AFTER")):
+        return None
+    kinds = [(c.name, spark_type(c.type)) for c in t.columns]
+    e = Emitter(eng, params)
+    e.scope = Scope([Relation(node.alias or t.name, kinds, ROWID), Relation("excluded", kinds)])
+    found = {}
+    for n, x in u.sets:
+        c = t.column(n)
+        if of_excluded(x):
+            found[c.name] = "last", e.value(e.expr(x))[0]
+            continue
+        if x.kind != "binary" or x.op != "+" or spark_type(c.type) != "int":
+            return None
+        own = [y for y in (x.left, x.right) if y.kind == "column" and (y.table or "").lower() in names and y.name.lower() == c.name.lower()]
+        other = x.right if own and own[0] is x.left else x.left
+        if len(own) != 1 or not of_excluded(other):
+            return None
+        sql, kind = e.value(e.expr(other))
+        if kind != "int":
+            return None
+        found[c.name] = "sum", sql
+    return found
+
+
+def upsert_at_once(eng: Engine, t: Table, node: Node, new: DataFrame, key: tuple[str, ...], folds: dict[str, tuple[str, str]], params: Any) -> ExecResult:
+    """Every row's version of its key's row by windows in the order of the rows; the last version of each key is written,
+    all of them are validated, counted and returned."""
+    alias = node.alias or t.name
+    fresh = stage(eng, semi(new.filter("__turn = 1").drop("__turn"), eng.rows(t), key, how="left_anti"))
+    total = add_rows(eng, t, fresh, params=params)
+    t = eng.table(t.name)
+    held = semi(new.drop("__turn"), fresh, (POS,), how="left_anti").alias("excluded")
+    joined = eng.rows(t).alias(alias).join(held, reduce(lambda x, y: x & y, [F.col(f"{quote(alias)}.{quote(c)}") == F.col(f"excluded.{quote(c)}") for c in key]))
+    window = f"PARTITION BY {', '.join(f'excluded.{quote(c)}' for c in key)} ORDER BY excluded.{POS}"
+    so_far = f"OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def version(c: Any) -> SparkColumn:
+        old = f"{quote(alias)}.{quote(c.name)}"
+        if c.name not in folds:
+            return F.expr(old).alias(c.name)
+        how, sql = folds[c.name]
+        value = sql if how == "last" else f"CASE WHEN count_if(({sql}) IS NULL) {so_far} = 0 THEN {old} + SUM({sql}) {so_far} END"
+        return F.expr(f"CAST({value} AS {c.type.simpleString()})").alias(c.name)
+
+    versions = joined.select(F.col(f"{quote(alias)}.{ROWID}").alias(OLD), F.col(f"{quote(alias)}.{ROWID}").alias(ROWID), F.expr(f"LEAD(excluded.{POS}) OVER ({window}) IS NULL").alias("__last"), *[version(c) for c in t.columns])
+    versions = stage(eng, eng.computed(t, versions, [c for c in t.columns if c.generated is not None]))
+    n, _ = validate(eng, t, versions, params)
+    names = [ROWID, *[quote(c.name) for c in t.columns]]
+    if n:
+        change_rows(eng, t, versions.filter("__last").select(OLD, *names[1:]), params, set(folds))
+    return returning(eng, t, node.returning, fresh.select(*names).unionByName(versions.select(*names)), params, total + n)
+
+
 # update and delete
 
 
@@ -414,22 +499,36 @@ def matching(eng: Engine, name: str, timing: str, event: str, sets: set[str] | N
 
 
 def fire(eng: Engine, t: Table, timing: str, event: str, new: DataFrame | None, old: DataFrame | None, sets: set[str] | None = None) -> None:
-    """Triggers of the rows. A body that is one INSERT of values becomes one INSERT ... SELECT over all rows; other bodies
-    run row by row, for ``TRIGGER_ROWS`` rows at most."""
+    """Triggers of the rows. A body of INSERTs of values becomes one INSERT ... SELECT over all rows for each of them; other
+    bodies run row by row, as a statement may see what the rows before it have changed."""
     for g in matching(eng, t.name, timing, event, sets):
         if eng.depth >= TRIGGER_DEPTH:
             raise SqlError("too many levels of trigger recursion")
         eng.depth += 1
         try:
-            if len(g.body) == 1 and g.body[0].kind == "insert" and not g.body[0].upserts and g.body[0].query is not None and g.body[0].query.body.kind == "values" and len(g.body[0].query.body.rows) == 1:
-                fire_set(eng, t, g, new, old)
+            if runs_as_set(eng, g):
+                for statement in g.body:
+                    fire_set(eng, t, g, statement, new, old)
             else:
                 fire_rows(eng, t, g, new, old)
         finally:
             eng.depth -= 1
 
 
-def fire_set(eng: Engine, t: Table, g: Trigger, new: DataFrame | None, old: DataFrame | None) -> None:
+def runs_as_set(eng: Engine, g: Trigger) -> bool:
+    """Whether a body is INSERTs of one line of values that read no table, into tables that differ and have no triggers (or
+    one INSERT, into any table): then their order among the rows cannot be seen."""
+    for s in g.body:
+        if s.kind != "insert" or s.upserts or s.query is None or s.query.body.kind != "values" or len(s.query.body.rows) != 1:
+            return False
+        if any(n.kind in ("query", "select") for n in nodes([s.query.body.rows[0], g.when])):
+            return False
+    targets = [s.table.lower() for s in g.body]
+    alone = len(set(targets)) == len(targets) and not any(h.table.lower() in targets for h in eng.catalog.triggers.values())
+    return len(g.body) == 1 or alone
+
+
+def fire_set(eng: Engine, t: Table, g: Trigger, body: Node, new: DataFrame | None, old: DataFrame | None) -> None:
     kinds = [(c.name, spark_type(c.type)) for c in t.columns]
     source, on_ = None, None
     for name, df in (("new", new), ("old", old)):
@@ -441,7 +540,6 @@ def fire_set(eng: Engine, t: Table, g: Trigger, new: DataFrame | None, old: Data
         own = Node("table", name=view, alias=name)
         on_ = Node("binary", op="=", left=Node("column", table="new", name="__row"), right=Node("column", table="old", name="__row"))
         source = own if source is None else Node("join", how="INNER", left=source, right=own, on=on_, using=None, natural=False)
-    body = g.body[0]
     items = [Node("item", arg=x, alias=None, text="x") for x in body.query.body.rows[0]]
     select = Node("select", distinct=False, items=items, source=source, where=g.when, group=[], having=None, windows=[])
     order = [Node("order", arg=Node("column", table="new" if new is not None else "old", name="__row"), down=False, nulls=None)]
@@ -456,17 +554,13 @@ def run_body(eng: Engine, statement: Node) -> None:
 
 
 def fire_rows(eng: Engine, t: Table, g: Trigger, new: DataFrame | None, old: DataFrame | None) -> None:
-    sides: dict[int, dict[str, dict[str, Any]]] = {}
+    sides = []
     for name, df in (("new", new), ("old", old)):
-        if df is None:
-            continue
-        key = OLD if name == "new" and old is not None else ROWID
-        got = df.orderBy(key).limit(TRIGGER_ROWS + 1).collect()
-        if len(got) > TRIGGER_ROWS:
-            raise SqlError(f"a trigger that runs row by row is limited to {TRIGGER_ROWS} rows a statement")
-        for r in got:
-            sides.setdefault(r[key], {})[name] = {c.name.lower(): r[c.name] for c in t.columns} | {"rowid": r[ROWID]}
-    for rows in sides.values():
+        if df is not None:
+            key = OLD if name == "new" and old is not None else ROWID
+            sides.append(df.select(F.col(key).alias("__key"), F.struct(F.col(ROWID).alias("__id"), *[F.col(quote(c.name)) for c in t.columns]).alias(name)))
+    for r in reduce(lambda a, b: a.join(b, "__key"), sides).orderBy("__key").toLocalIterator():  # a partition at a time
+        rows = {name: {c.name.lower(): r[name][c.name] for c in t.columns} | {"rowid": r[name]["__id"]} for name in r.asDict() if name != "__key"}
         if g.when is not None:
             e = Emitter(eng)
             if not eng.spark.sql(f"SELECT coalesce({e.cond(substitute(g.when, rows))}, false)").first()[0]:

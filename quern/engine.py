@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import itertools
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,10 @@ from quern.sources import TABLES, read_table
 
 __all__ = ["Engine", "ExecResult", "SqlError"]
 
-COMPACT_AT = 8  #: layers of a table from which it is rewritten as one
-TRIGGER_DEPTH, TRIGGER_ROWS, RECURSIONS = 32, 10_000, 1000
+COMPACT_AT = 8  #: layers of a table from which small ones are merged
+SMALL_LAYER = 1 << 20  #: bytes that every layer counts for at least, when layers are merged
+KEPT_MANIFESTS = 16  #: manifests before the last that stay, so that a late writer meets them
+TRIGGER_DEPTH, RECURSIONS = 32, 1000
 
 
 @dataclass
@@ -57,6 +61,7 @@ class Engine:
         self.registered: dict[str, Table] = {}
         self.needed: set[str] = set()  # Python functions that are registered
         self.depth = 0
+        self.version = 0  # of the manifest that was read or written last
         self.stats: list[tuple[str, str | None, str]] = []
         if path:
             self.open()
@@ -262,16 +267,18 @@ class Engine:
             a = [int(x) for x in dict(t.options)["args"]]
             step = a[2] if len(a) > 2 else 1
             return self.spark.range(a[0], a[1] + (1 if step > 0 else -1), step).select(F.monotonically_increasing_id().alias(ROWID), F.col("id").alias("value"))
+        return self.computed(t, self.laid(t, t.layers), [c for c in t.columns if c.generated is not None and not c.stored]).select(ROWID, *[quote(c.name) for c in t.columns])
+
+    def laid(self, t: Table, layers: tuple[Layer, ...]) -> DataFrame:
+        """Layers laid over each other: row ids and stored columns."""
         df = None
-        for layer in t.layers:
+        for layer in layers:
             if layer.removed and df is not None:
                 df = df.join(self.spark.read.schema(f"`{ROWID}` bigint").parquet(layer.removed), ROWID, "left_anti")
             if layer.added:
                 own = self.spark.read.schema(t.schema).parquet(layer.added)
                 df = own if df is None else df.unionByName(own)
-        if df is None:
-            df = self.frame([], t.schema)
-        return self.computed(t, df, [c for c in t.columns if c.generated is not None and not c.stored]).select(ROWID, *[quote(c.name) for c in t.columns])
+        return self.frame([], t.schema) if df is None else df
 
     def computed(self, t: Table, df: DataFrame, columns: list[Column]) -> DataFrame:
         for c in columns:
@@ -303,17 +310,38 @@ class Engine:
         df.write.parquet(where)
         return where
 
+    def layer(self, added: DataFrame | None, removed: DataFrame | None) -> Layer:
+        """A layer of frames that must not read what is not written yet."""
+        folders = [self.write(df) if df is not None else None for df in (added, removed)]
+        return Layer(*folders, sum(self.size(f) for f in folders if f))
+
+    def size(self, folder: str) -> int:
+        fs, p = self.hadoop(folder)
+        return fs.getContentSummary(p).getLength()
+
     def layered(self, t: Table, added: DataFrame | None, removed: DataFrame | None) -> Table:
-        """The table with a layer more; the frames must not read what is not written yet."""
+        """The table with a layer more."""
         names = [quote(ROWID), *[quote(c.name) for c in t.stored]]
-        layer = Layer(self.write(added.select(*names)) if added is not None else None, self.write(removed.select(ROWID)) if removed is not None else None)
-        t = replace(t, layers=(*t.layers, layer))
-        return self.compacted(t) if len(t.layers) > COMPACT_AT else t
-
-    def compacted(self, t: Table) -> Table:
-        if not t.layers:
+        own = self.layer(added.select(*names) if added is not None else None, removed.select(ROWID) if removed is not None else None)
+        t = replace(t, layers=(*t.layers, own))
+        return self.compacted(t, small=True) if len(t.layers) > COMPACT_AT else t
+
+    def compacted(self, t: Table, small: bool = False) -> Table:
+        """The table with all layers merged into one; ``small``: only its last ones, back to a layer that is more than twice
+        as large as those behind it together. So a row is written again about as often as the table's size doubles, and the
+        number of layers grows with the logarithm of that size."""
+        start = 0
+        if small:
+            start, behind = len(t.layers) - 1, max(t.layers[-1].size, SMALL_LAYER)
+            while start and t.layers[start - 1].size <= 2 * behind:
+                start -= 1
+                behind += max(t.layers[start].size, SMALL_LAYER)
+        if len(t.layers) - start < 2:
             return t
-        return replace(t, layers=(Layer(self.write(self.rows(t).select(quote(ROWID), *[quote(c.name) for c in t.stored])), None),))
+        tail = t.layers[start:]
+        added = self.laid(t, tail).select(quote(ROWID), *[quote(c.name) for c in t.stored])
+        gone = [self.spark.read.schema(f"`{ROWID}` bigint").parquet(x.removed) for x in tail if x.removed] if start else []
+        return replace(t, layers=(*t.layers[:start], self.layer(added, reduce(DataFrame.unionAll, gone).distinct() if gone else None)))
 
     # statements
     def run(self, node: Node, params: list[Any] | None = None, sql: str = "") -> DataFrame | ExecResult:
@@ -350,38 +378,83 @@ class Engine:
         """The Spark SQL of a query."""
         return Emitter(self).query(parse(sql))[0]
 
-    # persistence: a manifest beside the layers, replaced by renaming
+    # persistence: numbered manifests beside the layers; the highest number is the database
     def hadoop(self, path: str) -> tuple[Any, Any]:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def manifests(self) -> list[int]:
+        """The numbers of the manifests, in order. A manifest has its name only once it is whole."""
+        fs, p = self.hadoop(f"{self.path}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[:-5]) for n in names if n[:-5].isdigit() and n.endswith(".json"))
+
+    def manifest(self, number: int) -> str:
+        return f"{self.path}/manifests/{number:012d}.json"
+
     def publish(self) -> None:
+        """Writes the next manifest under another name and renames it, which fails if the number is taken: of two writers
+        that began with the same manifest one gets an error."""
         if not self.path:
             return
         body = {
             "settings": self.settings,
             "definitions": [x.sql for d in (self.catalog.tables, self.catalog.indexes, self.catalog.views, self.catalog.triggers) for x in d.values()],
-            "tables": {k: {"layers": [[x.added, x.removed] for x in t.layers], "sequence": t.sequence} for k, t in self.catalog.tables.items()},
+            "tables": {k: {"layers": [[x.added, x.removed, x.size] for x in t.layers], "sequence": t.sequence} for k, t in self.catalog.tables.items()},
         }
-        fs, old = self.hadoop(f"{self.path}/manifest.json")
-        _, new = self.hadoop(f"{self.path}/manifest-{uuid.uuid4().hex}")
+        there = self.manifests()
+        if (there[-1] if there else 0) != self.version:
+            self.overtaken()
+        fs, new = self.hadoop(f"{self.path}/manifests/{uuid.uuid4().hex}.tmp")
         out = fs.create(new)
         out.write(bytearray(json.dumps(body).encode()))
         out.close()
-        fs.delete(old, False)
-        fs.rename(new, old)
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        no_overwrite = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(new.toUri(), sc._jsc.hadoopConfiguration()).rename(new, self.hadoop(self.manifest(self.version + 1))[1], no_overwrite)
+        except Exception:
+            fs.delete(new, False)
+            if not fs.exists(self.hadoop(self.manifest(self.version + 1))[1]):
+                raise
+            self.overtaken()
+        self.version += 1
+        for n in there[:-KEPT_MANIFESTS]:
+            fs.delete(self.hadoop(self.manifest(n))[1], False)
+
+    def overtaken(self) -> None:
+        """Another connection has published first: its tables are read, and the statement is undone."""
+        self.open()
+        raise SqlError("database is locked: another connection changed it; its state was read again")
+
+    def read_manifest(self, number: int) -> dict[str, Any]:
+        return json.loads(self.spark.read.text(self.manifest(number), wholetext=True).first()[0])
+
+    def sweep(self, seconds: float) -> None:
+        """Deletes folders of rows that this connection's tables and the kept manifests do not name, if they are older than
+        ``seconds``: other connections may be writing younger ones."""
+        fs, data = self.hadoop(f"{self.folder()}/data")
+        if not fs.exists(data):
+            return
+        used = {f for t in self.catalog.tables.values() for x in t.layers for f in (x.added, x.removed)}
+        for n in self.manifests() if self.path else ():
+            used |= {f for t in self.read_manifest(n)["tables"].values() for x in t["layers"] for f in x[:2]}
+        names, until = {f.rsplit("/", 1)[1] for f in used if f}, (time.time() - seconds) * 1000
+        for status in fs.listStatus(data):
+            if status.getPath().getName() not in names and status.getModificationTime() <= until:
+                fs.delete(status.getPath(), True)
 
     def open(self) -> None:
-        fs, p = self.hadoop(f"{self.path}/manifest.json")
-        if not fs.exists(p):
+        there = self.manifests()
+        if not there:
             return
-        text = "\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).collect())
-        body = json.loads(text)
-        path, self.path = self.path, None
+        body = self.read_manifest(there[-1])
+        path, self.path, self.catalog = self.path, None, Catalog()
         for sql in body["definitions"]:
             self.execute(sql)
-        self.path, self.settings = path, body["settings"]
+        self.path, self.settings, self.version = path, body["settings"], there[-1]
         for name, own in body["tables"].items():
-            t = replace(self.catalog.tables[name], layers=tuple(Layer(a, r) for a, r in own["layers"]), sequence=own["sequence"])
+            t = replace(self.catalog.tables[name], layers=tuple(Layer(*x) for x in own["layers"]), sequence=own["sequence"])
             self.catalog = self.catalog.put("tables", name, t)

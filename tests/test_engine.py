@@ -149,6 +149,98 @@ def test_layers_are_compacted(db):
     assert len(db.table("t").layers) == 1 and rows(db, "SELECT SUM(a) FROM t") == [(25,)]
 
 
+def test_small_layers_are_merged_and_large_ones_stay(db, monkeypatch):
+    import quern.engine as engine
+
+    monkeypatch.setattr(engine, "SMALL_LAYER", 1)
+    db.execute_many("CREATE TABLE t(id INTEGER PRIMARY KEY, a INTEGER); INSERT INTO t SELECT value, value * 7919 % 100003 FROM generate_series(1, 200000)")
+    large = db.table("t").layers[0]
+    for k in range(12):
+        db.execute(f"UPDATE t SET a = -{k} WHERE id = {k % 5 + 1}")
+        db.execute(f"DELETE FROM t WHERE id = {k + 100}")
+        db.execute(f"INSERT INTO t VALUES ({k + 100}, {k})")
+    assert db.table("t").layers[0] is large and len(db.table("t").layers) <= 9
+    assert rows(db, "SELECT COUNT(*), SUM(a < 0 OR id BETWEEN 100 AND 111 AND a = id - 100) FROM t") == [(200000, 17)]
+    assert rows(db, "SELECT id, a FROM t WHERE id <= 5 ORDER BY id") == [(1, -10), (2, -11), (3, -7), (4, -8), (5, -9)]
+
+
+def test_two_connections(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    first = Engine(spark, path)
+    first.execute("CREATE TABLE t(a INTEGER)")
+    second = Engine(spark, path)
+    first.execute("INSERT INTO t VALUES (1)")
+    with pytest.raises(SqlError, match="locked"):
+        second.execute("INSERT INTO t VALUES (2)")
+    assert rows(second, "SELECT a FROM t") == [(1,)]
+    second.execute("INSERT INTO t VALUES (2)")
+    with pytest.raises(SqlError, match="locked"):
+        first.execute("DELETE FROM t")
+    assert rows(first, "SELECT a FROM t ORDER BY a") == [(1,), (2,)]
+
+
+def test_a_manifest_that_was_not_finished_does_not_count(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    Engine(spark, path).execute_many("CREATE TABLE t(a INTEGER); INSERT INTO t VALUES (1)")
+    (tmp_path / "db" / "manifests" / "0123.tmp").write_text("{")
+    assert rows(Engine(spark, path), "SELECT a FROM t") == [(1,)]
+
+
+def test_vacuum_deletes_what_no_table_holds(spark, tmp_path, monkeypatch):
+    import quern.definitions as definitions
+    import quern.engine as engine
+
+    db = Engine(spark, f"file://{tmp_path}/db")
+    db.execute_many("CREATE TABLE t(a INTEGER); INSERT INTO t VALUES (1); INSERT INTO t VALUES (2); DELETE FROM t WHERE a = 1")
+    before = len(list((tmp_path / "db" / "data").iterdir()))
+    db.execute("VACUUM")
+    assert len(list((tmp_path / "db" / "data").iterdir())) >= before
+    monkeypatch.setattr(definitions, "SWEEP_AFTER", -60.0)
+    monkeypatch.setattr(engine, "KEPT_MANIFESTS", 1)
+    db.execute_many("INSERT INTO t VALUES (3); VACUUM; VACUUM; VACUUM")
+    left = {f for x in db.table("t").layers for f in (x.added, x.removed) if f}
+    assert len(left) == 1 and len(list((tmp_path / "db" / "data").iterdir())) < before
+    assert rows(Engine(spark, f"file://{tmp_path}/db"), "SELECT a FROM t ORDER BY a") == [(2,), (3,)]
+
+
+def test_upsert_of_a_hot_key(db):
+    db.execute_many("CREATE TABLE t(k INTEGER PRIMARY KEY, n INTEGER CHECK (n < 1000000000), last TEXT, kept TEXT); INSERT INTO t VALUES (0, 100, 'old', 'first')")
+    sql = "INSERT INTO t SELECT value % 3 * (value % 2), value, 'v' || value, 'x' FROM generate_series(1, 20000) WHERE true ON CONFLICT(k) DO UPDATE SET n = n + excluded.n, last = excluded.last"
+    expected = {0: [100, "old", "first"]}
+    for v in range(1, 20001):
+        k = v % 3 * (v % 2)
+        if k in expected:
+            expected[k][:2] = [expected[k][0] + v, f"v{v}"]
+        else:
+            expected[k] = [v, f"v{v}", "x"]
+    assert db.execute(sql).rows_affected == 20000
+    assert rows(db, "SELECT * FROM t ORDER BY k") == [(k, *v) for k, v in sorted(expected.items())]
+    with pytest.raises(SqlError, match="CHECK"):
+        db.execute("INSERT INTO t VALUES (5, 1, 'a', 'b'), (5, 2000000000, 'a', 'b'), (5, -2000000000, 'a', 'b') ON CONFLICT(k) DO UPDATE SET n = n + excluded.n")
+    back = db.execute("INSERT INTO t VALUES (7, 1, 'a', 'b'), (7, NULL, 'c', 'd'), (7, 3, 'e', 'f') ON CONFLICT(k) DO UPDATE SET n = t.n + excluded.n, last = excluded.last RETURNING k, n, last").returning
+    assert sorted(map(tuple, back.collect()), key=str) == [(7, 1, "a"), (7, None, "c"), (7, None, "e")]
+    db.execute("INSERT INTO t VALUES (8, 2, 'a', 'b'), (8, 3, 'c', 'd'), (8, 4, 'e', 'f') ON CONFLICT(k) DO UPDATE SET n = t.n * excluded.n")
+    assert rows(db, "SELECT n, last FROM t WHERE k IN (7, 8) ORDER BY k") == [(None, "e"), (24, "a")]
+
+
+def test_trigger_of_many_rows(db):
+    db.execute_many(
+        "CREATE TABLE t(a INTEGER); CREATE TABLE x(s TEXT); CREATE TABLE y(n INTEGER); INSERT INTO t SELECT value FROM generate_series(1, 20000);"
+        "CREATE TRIGGER g AFTER UPDATE ON t WHEN new.a % 2 = 0 BEGIN INSERT INTO x VALUES (old.a || '>' || new.a); INSERT INTO y VALUES (new.a - old.a); END; UPDATE t SET a = a * 3"
+    )
+    assert rows(db, "SELECT COUNT(*), MIN(s) FROM x") == [(10000, "10000>30000")] and rows(db, "SELECT SUM(n) FROM y") == [(2 * sum(range(2, 20001, 2)),)]
+
+
+def test_trigger_that_sees_earlier_rows(db):
+    db.execute_many("CREATE TABLE t(a INTEGER); CREATE TABLE x(n INTEGER); CREATE TRIGGER g AFTER INSERT ON t BEGIN INSERT INTO x VALUES ((SELECT COUNT(*) FROM x) * 10 + new.a); END; INSERT INTO t VALUES (1), (2), (3)")
+    assert rows(db, "SELECT n FROM x ORDER BY n") == [(1,), (12,), (23,)]
+
+
+def test_rows_with_and_without_ids(db):
+    db.execute_many("CREATE TABLE t(id INTEGER PRIMARY KEY, a TEXT); INSERT INTO t VALUES (NULL, 'a'), (7, 'b'), (NULL, 'c'), (3, 'd'), (NULL, 'e')")
+    assert rows(db, "SELECT a, id FROM t ORDER BY a") == [("a", 8), ("b", 7), ("c", 9), ("d", 3), ("e", 10)]
+
+
 def test_full_text(db):
     db.execute_many("CREATE VIRTUAL TABLE docs USING fts5(title, body, weights=(2.0, 1.0)); INSERT INTO docs VALUES ('The quick brown fox', 'x'), ('Lazy dogs nap all day', 'quick nap'), ('Quick foxes jump high', 'Café')")
     find = lambda q: sorted(r[0] for r in rows(db, f"SELECT rowid FROM docs WHERE docs MATCH '{q}'"))
