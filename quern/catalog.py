@@ -136,6 +136,11 @@ class Index:
     where: Node | None
     sql: str
 
+    @property
+    def computed(self) -> bool:
+        """Whether it is unique over expressions or over some rows, so that it is no key of columns."""
+        return self.unique and (self.where is not None or any(c.kind != "column" for c in self.columns))
+
 
 @dataclass(frozen=True)
 class Trigger:

@@ -13,7 +13,7 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.catalog import ForeignKey, Table, Trigger, replace
+from quern.catalog import ForeignKey, Index, Table, Trigger, replace
 from quern.dialect.emit import ROWID, Emitter, Relation, Scope, quote, spark_type
 from quern.dialect.parser import Node, SqlError
 from quern.engine import TRIGGER_DEPTH, Engine, ExecResult
@@ -107,6 +107,37 @@ def check_unique(eng: Engine, t: Table, new: DataFrame, others: DataFrame, sets:
         twice = own.groupBy(*names).count().filter("count > 1").select(*names)
         if not twice.unionAll(semi(own, others, key).select(*names)).isEmpty():
             fail("UNIQUE", t, key)
+    for index in computed_indexes(eng, t):
+        if sets is None or sets & read_by(t, index):
+            check_computed(eng, t, index, new, others)
+
+
+def computed_indexes(eng: Engine, t: Table) -> list[Index]:
+    return [x for _, x in sorted(eng.catalog.indexes.items()) if x.computed and x.table.lower() == t.name.lower()]
+
+
+def read_by(t: Table, index: Index) -> set[str]:
+    """The columns that an index reads; those of generated columns count, too."""
+    low = {n.name.lower() for n in nodes([*index.columns, index.where]) if n.kind == "column"}
+    low |= {n.name.lower() for c in t.columns if c.generated is not None and c.name.lower() in low for n in nodes(c.generated) if n.kind == "column"}
+    return {c.name for c in t.columns if c.name.lower() in low}
+
+
+def with_key(eng: Engine, t: Table, index: Index, df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``df`` with an index's expressions as columns, null in rows that are not in it."""
+    e = eng.emitter_on("__row", [(c.name, spark_type(c.type)) for c in t.columns])
+    key = tuple(f"__u{k}" for k in range(len(index.columns)))
+    values = [e.value(e.expr(x))[0] for x in index.columns]
+    inside = e.cond(index.where) if index.where is not None else "true"
+    return df.alias("__row").select("*", *[F.expr(f"CASE WHEN {inside} THEN {x} END").alias(k) for k, x in zip(key, values)]), key
+
+
+def check_computed(eng: Engine, t: Table, index: Index, new: DataFrame, others: DataFrame) -> None:
+    own, key = with_key(eng, t, index, new)
+    own = own.filter(~any_null(key))
+    twice = own.groupBy(*key).count().filter("count > 1").select(*key)
+    if not twice.unionAll(semi(own, with_key(eng, t, index, others)[0], key).select(*key)).isEmpty():
+        fail("UNIQUE", t, f"index '{index.name}'")
 
 
 def check_parents(eng: Engine, t: Table, new: DataFrame) -> None:
@@ -149,11 +180,20 @@ def insert(eng: Engine, node: Node, params: Any) -> ExecResult:
         target = tuple(node.upserts[0].target) if node.upserts and node.upserts[0].target else None
         for key in [target] if target else t.keys:
             new = first_of(semi(new, eng.rows(t), key, how="left_anti"), key)
+        for index in computed_indexes(eng, t) if target is None else ():
+            keyed, key = with_key(eng, t, index, new)
+            new = first_of(semi(keyed, with_key(eng, t, index, eng.rows(t))[0], key, how="left_anti"), key).drop(*key)
         new = stage(eng, new)
     elif conflict == "REPLACE":
         for key in t.keys:
             new = first_of(new, key, last=True)
+        for index in computed_indexes(eng, t):
+            keyed, key = with_key(eng, t, index, new)
+            new = first_of(keyed, key, last=True).drop(*key)
         hits = [semi(eng.rows(t), new.filter(~any_null(key)), key) for key in t.keys]
+        for index in computed_indexes(eng, t):
+            keyed, key = with_key(eng, t, index, new)
+            hits.append(semi(with_key(eng, t, index, eng.rows(t))[0], keyed.filter(~any_null(key)), key).drop(*key))
         removed = stage(eng, reduce(DataFrame.unionByName, hits).dropDuplicates([ROWID])) if hits else None
         new = stage(eng, new)
     elif node.upserts:
@@ -302,6 +342,7 @@ def folds_of(eng: Engine, t: Table, node: Node, key: tuple[str, ...], params: An
     u, names = node.upserts[0], {(node.alias or t.name).lower(), ""}
     sets = {t.column(n).name for n, _ in u.sets if t.column(n)}
     watched = {c for k in (*t.keys, key, *[fk.columns for fk in t.foreign]) for c in k} | {t.id_column}
+    watched |= {c for index in computed_indexes(eng, t) for c in read_by(t, index)}
     generated = {c.name for c in t.columns if c.generated is not None}
     if u.where is not None or (sets | generated) & watched or len(sets) < len(u.sets) or any(matching(eng, t.name, when, "UPDATE", sets) for when in ("BEFORE", "AFTER")):
         return None

@@ -203,6 +203,23 @@ def test_vacuum_deletes_what_no_table_holds(spark, tmp_path, monkeypatch):
     assert rows(Engine(spark, f"file://{tmp_path}/db"), "SELECT a FROM t ORDER BY a") == [(2,), (3,)]
 
 
+def test_unique_expressions_and_partial_indexes(db):
+    db.execute_many("CREATE TABLE t(id INTEGER PRIMARY KEY, a TEXT, live INTEGER); INSERT INTO t(a, live) VALUES ('x', 1), ('X', 0), ('y', 1), (NULL, 1), (NULL, 1)")
+    with pytest.raises(SqlError, match="UNIQUE constraint failed: index 'u'"):
+        db.execute("CREATE UNIQUE INDEX u ON t(lower(a))")
+    db.execute("CREATE UNIQUE INDEX u ON t(lower(a)) WHERE live = 1")
+    with pytest.raises(SqlError, match="index 'u'"):
+        db.execute("INSERT INTO t(a, live) VALUES ('Y', 1)")
+    with pytest.raises(SqlError, match="index 'u'"):
+        db.execute("UPDATE t SET live = 1")
+    db.execute("INSERT INTO t(a, live) VALUES ('Y', 0)")
+    db.execute("INSERT OR IGNORE INTO t(a, live) VALUES ('X', 1), ('z', 1), ('Z', 1), ('Z', 0)")
+    assert rows(db, "SELECT a, live FROM t WHERE id > 5 ORDER BY id") == [("Y", 0), ("z", 1), ("Z", 0)]
+    db.execute("INSERT OR REPLACE INTO t(a, live) VALUES ('Y', 1)")
+    assert rows(db, "SELECT a FROM t WHERE live = 1 AND lower(a) = 'y'") == [("Y",)] and rows(db, "SELECT COUNT(*) FROM t") == [(8,)]
+    db.execute_many("DROP INDEX u; INSERT INTO t(a, live) VALUES ('y', 1)")
+
+
 def test_upsert_of_a_hot_key(db):
     db.execute_many("CREATE TABLE t(k INTEGER PRIMARY KEY, n INTEGER CHECK (n < 1000000000), last TEXT, kept TEXT); INSERT INTO t VALUES (0, 100, 'old', 'first')")
     sql = "INSERT INTO t SELECT value % 3 * (value % 2), value, 'v' || value, 'x' FROM generate_series(1, 20000) WHERE true ON CONFLICT(k) DO UPDATE SET n = n + excluded.n, last = excluded.last"
