@@ -42,5 +42,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     found = {name: other or sql for name, (_, sql, other) in PLAIN.items()}
-    found |= {name: sql for name, (_, sql) in search.QUERIES.items()}
+    found |= {name: sql for name, (_, sql) in search.QUERIES.items() if sql}
     return found | {name: sql for name, (_, _, sql) in statements.QUERIES.items()}

@@ -11,7 +11,7 @@ from tests.compare import mismatch
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_against_sql(spark, name):
     assert mismatch(spark, SF, registry.queries()[name], registry.oracle_sql()[name]) == ""
 

@@ -114,3 +114,51 @@ def test_nearest_batch_has_no_cap_of_queries(spark, monkeypatch):
     assert len(whole) == 90
     monkeypatch.setattr(knn, "QUERY_LIMIT", 8)
     assert run() == whole
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_ivf_recall(spark, metric):
+    from quern.operators import ivf
+
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("w"))
+    index = ivf.build(v, "vec_id", "embedding", metric)
+    assert sum(index.sizes.values()) == v.count()
+    got = {(r.query_id, r.id) for r in ivf.search(index, q, 10, "q", "w").collect()}
+    exact = {(r.q, r.vec_id) for r in knn.nearest_batch(v, q, 10, "vec_id", "embedding", "q", "w", metric).collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.95 * len(exact)
+
+
+def test_ivf_of_clusters_asks_few_lists(spark, tmp_path):
+    import numpy as np
+
+    from quern.operators import ivf
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 16))[rng.integers(30, size=1500)] * 4 + rng.normal(size=(1500, 16))
+    v = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "id long, v array<double>")
+    index = ivf.build(v, "id", "v", folder=f"file://{tmp_path}/lists")
+    got = {(r.query_id, r.id) for r in ivf.search(index, v.filter("id % 50 = 0"), 10, "id", "v").collect()}
+    true = {(q, int(k)) for q in range(0, 1500, 50) for k in np.argsort(((x - x[q]) ** 2).sum(axis=1))[:10]}
+    assert index.probes < len(index.centroids) / 3 and len(got & true) >= 0.95 * len(true)
+
+
+def test_ivf_of_odd_rows(spark, monkeypatch):
+    from quern.operators import ivf
+
+    rows = [(k, [1.0, 2.0]) for k in range(60)] + [(60, [9.0, 9.0]), (61, None), (62, [1.0]), (63, [9.0, None]), (None, [5.0, 5.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    q = spark.createDataFrame([(1, [9.0, 9.0]), (2, None), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0])], "q long, w array<double>")
+    index = ivf.build(v, "id", "v", lists=4)
+    expected = {1: [60, None, 0], 4: [0, 1, 2]}
+    for limit, task in ((10_000, 200_000), (0, 7)):  # broadcast, and dealt to several tasks
+        monkeypatch.setattr(ivf, "QUERY_LIMIT", limit)
+        monkeypatch.setattr(ivf, "ROWS_A_TASK", task)
+        got = {}
+        for r in ivf.search(index, q, 3, "q", "w", probes=1).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == expected
+    nothing = ivf.build(v.limit(0), "id", "v")
+    assert ivf.search(nothing, q, 3, "q", "w").count() == 0
+    with pytest.raises(ValueError):
+        ivf.build(v, "id", "v", "dot")
