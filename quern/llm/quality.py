@@ -5,9 +5,10 @@ hashed n-grams. A document's log importance is the sum of its n-grams' log ratio
 models; the k documents with the largest log importance plus Gumbel noise are sampled, which
 is sampling without replacement in proportion to the importance.
 
-N-grams are of three kinds, each with its own ``BUCKETS`` counts: a word (lower-cased), a
+N-grams are of four kinds, each with its own ``BUCKETS`` counts: a word (lower-cased), a
 word's shape (runs of lower case, upper case, digits and each other sign; and whether it
-repeats the word before), and two shapes in a row. A count model is 3 * BUCKETS numbers.
+repeats the word before), two shapes in a row, and two words in a row. A count model is
+KINDS * BUCKETS numbers.
 
 The raw model counts every document. The target model counts the labelled good documents, at
 most ``SAMPLE`` of them, those with the smallest hashes of their ids. k is given, or else the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import checkpoint, read, remote
 
-BUCKETS, SAMPLE, MARGIN, BINS, PRIOR = 1 << 11, 20_000, 8.0, 1024, 3.0
+BUCKETS, SAMPLE, MARGIN, BINS, PRIOR, KINDS = 1 << 11, 20_000, 8.0, 1024, 3.0, 4
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -59,7 +60,7 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(which text, feature) of every n-gram; features are below 3 * BUCKETS."""
+    """(which text, feature) of every n-gram; features are below KINDS * BUCKETS."""
     blank_of, lower_of, kind_of = tables()
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     solid = ~blank_of[data]
@@ -88,7 +89,9 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shape = shape * np.uint64(2) + same
     pairs = np.flatnonzero(inside)
     two = shape[pairs - 1] * BASE + shape[pairs]
-    return np.concatenate((doc, doc, doc[pairs])), np.concatenate((bucket(lexical), bucket(shape) + BUCKETS, bucket(two) + 2 * BUCKETS))
+    words = lexical[pairs - 1] * BASE + lexical[pairs]
+    feature = (bucket(lexical), bucket(shape) + BUCKETS, bucket(two) + 2 * BUCKETS, bucket(words) + 3 * BUCKETS)
+    return np.concatenate((doc, doc, doc[pairs], doc[pairs])), np.concatenate(feature)
 
 
 def parts(batch: pa.RecordBatch, column: int = 0) -> Iterator[list[bytes]]:
@@ -98,14 +101,14 @@ def parts(batch: pa.RecordBatch, column: int = 0) -> Iterator[list[bytes]]:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(3 * BUCKETS, np.int64), np.zeros(3 * BUCKETS, np.int64)
+    raw, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
     for batch in batches:
         good = np.array(batch.column(1).to_pylist(), bool)
         at = 0
         for texts in parts(batch):
             doc, feature = ngrams(texts)
-            raw += np.bincount(feature, minlength=3 * BUCKETS)
-            target += np.bincount(feature[good[at + doc]], minlength=3 * BUCKETS)
+            raw += np.bincount(feature, minlength=KINDS * BUCKETS)
+            target += np.bincount(feature[good[at + doc]], minlength=KINDS * BUCKETS)
             at += len(texts)
     seen = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(raw[seen]), pa.array(target[seen])], ["feature", "raw", "target"])
@@ -119,13 +122,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, s
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(good), F.col("__id") == F.col("__good"), "left").select("text", F.col("__good").isNotNull().alias("good"))  # at most ``sample`` ids
     counts = rows.mapInArrow(remote(__name__, "count_batches"), "feature int, raw long, target long").groupBy("feature").agg(F.sum("raw"), F.sum("target"))
-    raw, target = np.zeros(3 * BUCKETS), np.zeros(3 * BUCKETS)
-    for feature, r, t in counts.collect():  # at most 3 * BUCKETS rows
+    raw, target = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
+    for feature, r, t in counts.collect():  # at most KINDS * BUCKETS rows
         raw[feature], target[feature] = r, t
     if not target.any():
-        return np.zeros(3 * BUCKETS)
+        return np.zeros(KINDS * BUCKETS)
     ratios = []
-    for t, r in zip(np.split(target, 3), np.split(raw, 3)):
+    for t, r in zip(np.split(target, KINDS), np.split(raw, KINDS)):
         expected = r * (t.sum() / max(r.sum(), 1))
         ratios.append(np.log((t + PRIOR) / (expected + PRIOR)))
     return np.concatenate(ratios)

@@ -127,6 +127,7 @@ def slow_ngrams(text):
             found += [bucket(own), bucket(shape) + quality.BUCKETS]
             if last is not None:
                 found.append(bucket((last_shape * base + shape) & mask) + 2 * quality.BUCKETS)
+                found.append(bucket((last * base + own) & mask) + 3 * quality.BUCKETS)
             last, last_shape = own, shape
     return found
 
@@ -140,13 +141,13 @@ def test_resampling_is_brute_force(spark):
     labels = {i: rng.randint(0, 1) for i in range(0, 120, 2)}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([(i, q, 0) for i, q in labels.items()] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
-    raw, target = np.zeros(3 * quality.BUCKETS), np.zeros(3 * quality.BUCKETS)
+    raw, target = np.zeros(4 * quality.BUCKETS), np.zeros(4 * quality.BUCKETS)
     for i, t in rows:
         for f in slow_ngrams((t or "").encode()):
             raw[f] += 1
             target[f] += labels.get(i) == 1
     weights = []
-    for t, r in zip(np.split(target, 3), np.split(raw, 3)):
+    for t, r in zip(np.split(target, 4), np.split(raw, 4)):
         weights.append(np.log((t + quality.PRIOR) / (r * t.sum() / r.sum() + quality.PRIOR)))
     weights = np.concatenate(weights)
     noise = {r.doc_id: r.g for r in df.select("doc_id", quality.gumbel(F.col("doc_id")).alias("g")).collect()}
@@ -167,7 +168,7 @@ def test_ngrams_do_not_depend_on_the_batch():
     one = [sorted(quality.ngrams([t])[1].tolist()) for t in texts]
     doc, feature = quality.ngrams(texts)
     assert [sorted(feature[doc == k].tolist()) for k in range(len(texts))] == one
-    assert len(one[0]) == 3 * len(texts[0].split()) - 1 and one[3] == one[4] == one[5] == []
+    assert len(one[0]) == 4 * len(texts[0].split()) - 2 and one[3] == one[4] == one[5] == []
 
 
 def test_kth_largest(spark):
