@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import checkpoint, read, remote
 
 BUCKETS, SAMPLE, MARGIN, BINS, PRIOR, KINDS = 1 << 11, 20_000, 8.0, 1024, 3.0, 4
+PART = 1 << 17
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -95,9 +96,17 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts(batch: pa.RecordBatch, column: int = 0) -> Iterator[list[bytes]]:
-    """A column's texts, some at a time."""
+    """A column's texts, some at a time: up to the text with which they reach ``PART`` bytes, as n-grams take many times that."""
     for start in range(0, batch.num_rows, 256):
-        yield [t or b"" for t in batch.column(column).slice(start, 256).cast(pa.binary()).to_pylist()]
+        texts = [t or b"" for t in batch.column(column).slice(start, 256).cast(pa.binary()).to_pylist()]
+        first = held = 0
+        for k, text in enumerate(texts):
+            held += len(text)
+            if held >= PART:
+                yield texts[first : k + 1]
+                first, held = k + 1, 0
+        if first < len(texts):
+            yield texts[first:]
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

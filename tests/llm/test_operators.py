@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -93,6 +94,13 @@ def test_line_dedup_random(spark):
 # quality
 
 
+def test_quality_parts_are_bounded_by_bytes():
+    column = ["a b " * n for n in (0, 3, 40_000, 1, 20_000, 20_000, 5)] + [None, ""] * 200
+    found = list(quality.parts(pa.RecordBatch.from_arrays([pa.array(column)], ["text"])))
+    assert [t for part in found for t in part] == [(t or "").encode() for t in column]
+    assert all(sum(map(len, part[:-1])) < quality.PART and len(part) <= 256 for part in found)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(2)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
