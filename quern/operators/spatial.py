@@ -23,14 +23,45 @@ def cell_sizes(boxes: list[tuple[DataFrame, list[str], list[str]]]) -> list[floa
     return sizes
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, low: list[str], high: list[str], sizes: list[float] | None = None, most_cells: int = 64) -> DataFrame:
+#: What a cell must hold of a side's dealt boxes to be split (a ``HOT``-th, so fewer than ``HOT`` cells a side can), and into how many.
+HOT, SALTS = 1000, 16
+
+
+def split_hot(left: DataFrame, right: DataFrame, cell: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with salts ``__a`` and ``__b`` beside the cell. In a cell that is hot on the left, each left box takes
+    one of ``SALTS`` values of ``__a`` and each right box all of them; on the right likewise with ``__b``. Elsewhere both
+    salts are 0. So two boxes of a cell meet once, and no task holds a whole hot cell."""
+
+    def hot_cells(df: DataFrame, tag: str) -> DataFrame | None:
+        counts = df.groupBy(*cell).count()
+        total, most = counts.agg(F.sum("count"), F.max("count")).first()
+        least = max(hot_rows, (total or 0) / HOT)
+        return counts.filter(F.col("count") > least).select(*cell, F.lit(tag).alias("__side")) if (most or 0) > least else None
+
+    found = [x for x in (hot_cells(left, "l"), hot_cells(right, "r")) if x is not None]
+    if not found:
+        return tuple(df.withColumns({"__a": F.lit(0), "__b": F.lit(0)}) for df in (left, right))
+    sides = reduce(DataFrame.unionAll, found).groupBy(*cell)
+    hot = F.broadcast(sides.agg(F.max(F.col("__side") == "l").alias("__hot_l"), F.max(F.col("__side") == "r").alias("__hot_r")))  # fewer than 2 * HOT rows
+
+    def salted(df: DataFrame, own: str, one: str, other: str, is_hot: str, other_hot: str) -> DataFrame:
+        drawn = F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")
+        spread = F.when(F.col(other_hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        df = df.join(hot, cell, "left").withColumn(one, F.when(F.col(is_hot), drawn).otherwise(0)).withColumn(other, F.explode(spread))
+        return df.drop("__hot_l", "__hot_r")
+
+    return salted(left, left.columns[0], "__a", "__b", "__hot_l", "__hot_r"), salted(right, right.columns[0], "__b", "__a", "__hot_r", "__hot_l")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, low: list[str], high: list[str], sizes: list[float] | None = None, most_cells: int = 64, hot_rows: int = 1024) -> DataFrame:
     """(left_id, right_id) of all pairs of boxes that touch; ``left_id`` and ``right_id`` differ in name, the bounds do not.
 
     Both sides are dealt to the cells of a grid that they touch, cells are joined by equality,
     and a pair counts only in the first cell that both touch, so no pair repeats and nothing is
     deduplicated. A box that would touch more than ``most_cells`` cells lives in a coarser grid:
     its level is the number of times that cells had to double. Boxes of two levels meet in the
-    coarser one, for which the finer side is dealt to each coarser level in use.
+    coarser one, for which the finer side is dealt to each coarser level in use. Cells of more than
+    ``hot_rows`` boxes that hold a ``HOT``-th of a side are split.
     """
     sizes = sizes or cell_sizes([(left, low, high), (right, low, high)])
     bound = float(most_cells) ** (1.0 / len(low))
@@ -55,7 +86,9 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         keep += [F.col(x).alias(f"{x}_{tag}") for x in [*low, *high]] + [F.col(f"__from{d}").alias(f"__from{d}_{tag}") for d in range(len(low))]
         return df.select(*keep)
 
-    joined = dealt(left, "l", left_id).join(dealt(right, "r", right_id), ["__at", *[f"__c{d}" for d in range(len(low))]])
+    cell = ["__at", *[f"__c{d}" for d in range(len(low))]]
+    left, right = split_hot(dealt(left, "l", left_id), dealt(right, "r", right_id), cell, hot_rows)
+    joined = left.join(right, [*cell, "__a", "__b"])
     tests = [F.col("__at") == F.greatest("__level_l", "__level_r")]
     for d, (l, h) in enumerate(zip(low, high)):
         tests += [F.col(f"{h}_l") >= F.col(f"{l}_r"), F.col(f"{l}_l") <= F.col(f"{h}_r"), F.col(f"__c{d}") == F.greatest(f"__from{d}_l", f"__from{d}_r")]

@@ -74,6 +74,23 @@ def test_overlap_join_is_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [(300, 20), (20, 300), (300, 300)])
+def test_overlap_join_splits_hot_cells(spark, crowd):
+    rng = random.Random(5)
+    box = lambda i, k: (i, x := rng.uniform(50, 50.5) if i < k else rng.uniform(0, 100), x + rng.random() / 4, y := rng.uniform(50, 50.5) if i < k else rng.uniform(0, 100), y + rng.random() / 4)
+    left, right = ([box(i, k) for i in range(k + 60)] for k in crowd)
+    schema, low, high = "min_0 double, max_0 double, min_1 double, max_1 double", ["min_0", "min_1"], ["max_0", "max_1"]
+    a, b = spark.createDataFrame([*left, (None, *left[0][1:]), (-1, None, 1.0, 1.0, None)], f"a long, {schema}"), spark.createDataFrame(right, f"b long, {schema}")
+    meet = lambda p, q: p[2] >= q[1] and p[1] <= q[2] and p[4] >= q[3] and p[3] <= q[4]
+    want = sorted([(p[0], q[0]) for p in left for q in right if meet(p, q)] + [(-9, q[0]) for q in right if meet(left[0], q)])
+    for hot_rows in (8, 10_000):
+        got = spatial.overlap_join(a, b, "a", "b", low, high, sizes=[2.0, 2.0], hot_rows=hot_rows).collect()
+        assert sorted((-9 if r.a is None else r.a, r.b) for r in got) == want
+    dealt = [df.withColumnRenamed("min_0", "c") for df in (a.selectExpr("a", "floor(min_0 / 2) AS min_0"), b.selectExpr("b", "floor(min_0 / 2) AS min_0"))]
+    salts = [df.filter("c = 25").select("__a", "__b").distinct().count() for df in spatial.split_hot(*dealt, ["c"], 100)]
+    assert all(n > spatial.SALTS / 2 for n in salts)
+
+
 def test_ntile(spark):
     df = spark.range(10).withColumn("b", window.ntile(4, [], "id"))
     assert [r.n for r in df.groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect()] == [3, 2, 3, 2]
