@@ -307,6 +307,35 @@ def test_pragmas(db):
     assert "Scan" in " ".join(r[3] for r in rows(db, "EXPLAIN QUERY PLAN SELECT * FROM t"))
 
 
+ORDERS = {"k": "k NULLS FIRST", "k DESC": "k DESC NULLS LAST", "k NULLS LAST": "k NULLS LAST", "k DESC NULLS FIRST": "k DESC NULLS FIRST"}  # ours, and as DuckDB says it
+
+
+def plan(db, sql):
+    return db.query(sql)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def against_duckdb(db, spark, table, data, schema, columns):
+    """Columns by their own SQL and by DuckDB's, over rows ``data``."""
+    import duckdb
+
+    db.register(table, spark.createDataFrame(data, schema))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE {table}({schema})")
+    con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(data[0]))})", data)
+    ours, theirs = (f"SELECT id, {', '.join(f'{c[at]} AS c{k}' for k, c in enumerate(columns))} FROM {table} ORDER BY id" for at in (0, 1))
+    for got, want in zip(rows(db, ours), con.execute(theirs).fetchall(), strict=True):
+        assert [*got] == [*want]
+    return plan(db, ours)
+
+
+def test_range_and_groups_frames_to_the_end_are_running_ones(db, spark):
+    data = [(i, i % 3, None if i % 7 == 0 else i * i % 23) for i in range(120)]
+    frames = ["RANGE BETWEEN CURRENT ROW", "RANGE BETWEEN 2 PRECEDING", "RANGE BETWEEN 3 FOLLOWING", "GROUPS BETWEEN CURRENT ROW", "GROUPS BETWEEN 1 PRECEDING", "GROUPS BETWEEN 2 FOLLOWING"]
+    over = "CAST({}(id) OVER (PARTITION BY p ORDER BY {} {} AND UNBOUNDED FOLLOWING) AS BIGINT)"
+    columns = [tuple(over.format(f, o, frame) for o in order) for f, order in zip(("SUM", "COUNT", "MIN", "MAX"), ORDERS.items()) for frame in frames]
+    assert "unboundedfollowing" not in against_duckdb(db, spark, "t", data, "id BIGINT, p BIGINT, k BIGINT", columns)
+
+
 VALUES = [
     ("5 / 2", 2), ("-5 / 2", -2), ("5 / 0", 0), ("5 % 0", 0), ("5.0 / 0", float("inf")), ("'a' + 1", 1), ("1 < 'a'", 1), ("NULL + 1", None), ("1 = 1.0", 1), ("'a' = 'A'", 0),
     ("'a' = 'A' COLLATE NOCASE", 1), ("'ABC' LIKE 'a%'", 1), ("'É' LIKE 'é'", 0), ("'a%b' LIKE 'a\\%b'", 0), ("3 NOT IN (1, NULL)", 1), ("NULL IN (1)", None), ("1 IN ()", 0), ("1 IS NOT 2", 1),

@@ -96,6 +96,14 @@ def test_ntile(spark):
     assert [r.n for r in df.groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect()] == [3, 2, 3, 2]
 
 
+def test_groups_frames_to_the_end_are_running_ones(spark):
+    for before, after in ((1, None), (-1, None), (None, None), (None, 1)):
+        df = window.groups_frame(spark.range(12).selectExpr("id", "id % 2 AS p", "id DIV 4 AS k"), F.sum("id"), "s", ["p"], "k", before, after)
+        within = lambda r, q: q % 2 == r % 2 and (before is None or q // 4 >= r // 4 - before) and (after is None or q // 4 <= r // 4 + after)  # noqa: B023, E731
+        assert {r.id: r.s for r in df.collect()} == {i: sum(q for q in range(12) if within(i, q)) or None for i in range(12)}
+        assert before is None or "unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_recursive_union_ends_and_errs(spark):
     found = recursive_union(spark.range(1), lambda d: d.selectExpr("(id * 2 + 1) % 11 AS id"))
     assert sorted(r.id for r in found.collect()) == list(range(10))
