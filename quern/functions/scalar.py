@@ -508,5 +508,5 @@ def fts5_rank_token(e: Emitter, a: list[Typed], n: Node) -> Typed:
     for r in e.scope.relations if e.scope else []:
         if r.fts and str(name).lower() in (r.fts.name.lower(), r.alias.lower()):
             view = e.host.fts_scores(r.fts, str(query))
-            return f"coalesce((SELECT max(__s.score) FROM {view} AS __s WHERE __s.rowid = `{r.alias}`.`__rowid__`), 0D)", "real"
+            return f"coalesce((SELECT max(__s.score) FROM {view} AS __s WHERE __s.rowid = {r.ref('__rowid__')}), 0D)", "real"
     raise SqlError(f"no such full-text table: {name}")

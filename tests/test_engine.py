@@ -336,6 +336,30 @@ def test_range_and_groups_frames_to_the_end_are_running_ones(db, spark):
     assert "unboundedfollowing" not in against_duckdb(db, spark, "t", data, "id BIGINT, p BIGINT, k BIGINT", columns)
 
 
+def test_rows_frames_to_the_end_are_running_ones(db, spark):
+    data = [(i * 37 % 121, i % 3, None if i % 7 == 0 else i * i % 23) for i in range(120)]
+    frames = ["ROWS BETWEEN CURRENT ROW", "ROWS BETWEEN 2 PRECEDING", "ROWS BETWEEN 3 FOLLOWING"]
+    over = "CAST({}(id) OVER (PARTITION BY p ORDER BY {}, id {} AND UNBOUNDED FOLLOWING) AS BIGINT)"
+    columns = [tuple(over.format(f, o, frame) for o in order) for f, order in zip(("SUM", "COUNT", "MIN", "MAX"), ORDERS.items()) for frame in frames]
+    assert "unboundedfollowing" not in against_duckdb(db, spark, "t", data, "id BIGINT, p BIGINT, k BIGINT", columns)
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["SELECT {} FROM t", "SELECT {} FROM t WHERE id >= 0", "SELECT {} FROM (SELECT a.id, a.k FROM t a JOIN u b ON a.id = b.id)", "SELECT {} FROM (SELECT id AS i, k AS j FROM t) GROUP BY i, j", "SELECT id % 1000 AS g, {} FROM t GROUP BY g", "SELECT id % 1000, {} FROM t GROUP BY 1"],
+)
+def test_frames_before_and_behind_a_row_share_no_peer(db, spark, source):
+    db.register("t", spark.createDataFrame([(i, i % 4) for i in range(400)], "id BIGINT, k BIGINT").repartition(7))
+    db.register("u", spark.range(400).repartition(5))
+    v, k = ("i", "j") if "GROUP BY i" in source else ("SUM(id)", "COUNT(*)") if "GROUP" in source else ("id", "k")
+    for order in (f"ORDER BY {k}", f"ORDER BY {k} DESC", ""):
+        part = f"SUM({v}) OVER ({order} ROWS BETWEEN "
+        parts = f"{v} AS v, {part}UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, {part}1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b, ROW_NUMBER() OVER ({order}) AS n, COUNT(*) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m, LEAD({v}) OVER ({order}) AS next, {part}1 FOLLOWING AND 1 FOLLOWING) AS later"
+        got = db.query(source.format(parts)).collect()
+        assert len(got) == 400
+        assert all((r.a or 0) + r.v + (r.b or 0) == sum(range(400)) and r.n + r.m == 401 and r.next == r.later for r in got)
+
+
 VALUES = [
     ("5 / 2", 2), ("-5 / 2", -2), ("5 / 0", 0), ("5 % 0", 0), ("5.0 / 0", float("inf")), ("'a' + 1", 1), ("1 < 'a'", 1), ("NULL + 1", None), ("1 = 1.0", 1), ("'a' = 'A'", 0),
     ("'a' = 'A' COLLATE NOCASE", 1), ("'ABC' LIKE 'a%'", 1), ("'É' LIKE 'é'", 0), ("'a%b' LIKE 'a\\%b'", 0), ("3 NOT IN (1, NULL)", 1), ("NULL IN (1)", None), ("1 IN ()", 0), ("1 IS NOT 2", 1),
