@@ -360,6 +360,14 @@ def test_frames_before_and_behind_a_row_share_no_peer(db, spark, source):
         assert all((r.a or 0) + r.v + (r.b or 0) == sum(range(400)) and r.n + r.m == 401 and r.next == r.later for r in got)
 
 
+def test_frames_to_the_end_with_having_and_without_tables(db):
+    db.execute_many("CREATE TABLE t(id INTEGER PRIMARY KEY, k INTEGER); INSERT INTO t(k) VALUES (1), (1), (2)")
+    end = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    assert rows(db, f"SELECT SUM(1) OVER ({end}) FROM t HAVING COUNT(*) > 1") == [(1,)]
+    assert rows(db, f"SELECT COUNT(*) OVER ({end})") == [(1,)]
+    assert rows(db, f"SELECT id, (SELECT count(*) FROM t b WHERE b.k = t.k), SUM(id) OVER (ORDER BY k {end}) FROM t ORDER BY id") == [(1, 2, 6), (2, 2, 5), (3, 1, 3)]
+
+
 VALUES = [
     ("5 / 2", 2), ("-5 / 2", -2), ("5 / 0", 0), ("5 % 0", 0), ("5.0 / 0", float("inf")), ("'a' + 1", 1), ("1 < 'a'", 1), ("NULL + 1", None), ("1 = 1.0", 1), ("'a' = 'A'", 0),
     ("'a' = 'A' COLLATE NOCASE", 1), ("'ABC' LIKE 'a%'", 1), ("'É' LIKE 'é'", 0), ("'a%b' LIKE 'a\\%b'", 0), ("3 NOT IN (1, NULL)", 1), ("NULL IN (1)", None), ("1 IN ()", 0), ("1 IS NOT 2", 1),
